@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import exact_dedup, sharding, topk
+from recordloom.llm import bpe, exact_dedup, langid, packing, sharding, simhash, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     found: list[Query] = [
+        langid.op2_rank_order_languages,
         sharding.op3_feistel_shards,
         topk.op4_exact_top_k,
         exact_dedup.op5_golomb_exact_dedup,
+        packing.op6_best_fit_packing,
+        simhash.op7_simhash_components,
+        bpe.op9_bpe_round_trip,
+        token_counts.op10_pre_token_counts,
     ]
     return {f.__name__: f for f in found}
 
