@@ -31,14 +31,33 @@ def prepared(df: DataFrame) -> DataFrame:
     return df
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows written to the cluster's checkpoint folder, so that neither lost executors nor later uses recompute them."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder (spark.checkpoint.dir); where none is set, as in tests, a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="recordloom-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows written to the cluster's checkpoint folder, so that neither lost executors nor later uses recompute them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Row numbers (8 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs, a table as read, without the rows of these numbers (column row) in its scan."""
+    dropped = durable(dropped)
+    small = dropped.count() <= BROADCAST_ROWS
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    right = dropped.select(F.col("row").alias("__row"))
+    return numbered.join(F.broadcast(right) if small else right, "__row", "left_anti").drop("__row")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -121,7 +121,11 @@ def marked_hashes(narrow: DataFrame) -> DataFrame:
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row; see exact_groups for the rules."""
+    """Groups of equal texts: doc_id, row (a number of the row in its scan), keep_id, group_size, kept, text_sha256.
+
+    One row for each row of df. Null texts are empty texts. The row with the largest id is kept; null ids are
+    smallest; of repeated rows with the largest id exactly one is kept. An empty table gives no rows.
+    """
     texts = prepared(df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text")))
     texts = texts.withColumn("h", F.xxhash64("text"))
     narrow = durable(texts.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")))
@@ -135,20 +139,11 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kept = narrow.join(F.broadcast(marked) if small else marked, "h", "left_semi").groupBy("h", "text_sha256").agg(top.alias("top"), F.count(F.lit(1)).alias("group_size"))
     kept = kept.join(verified, ["h", "text_sha256"]).select("h", "text_sha256", "top", "group_size")
     out = narrow.join(kept, ["h", "text_sha256"], "left")
-    return out.select("doc_id", F.when(F.col("top").isNotNull(), F.col("top.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("top.row") == F.col("row"), F.lit(True)).alias("kept"), "text_sha256")
-
-
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of equal texts: doc_id, keep_id, group_size, kept, text_sha256, one row for each row of df.
-
-    Null texts are empty texts. The row with the largest id is kept; null ids are smallest; of repeated rows with the
-    largest id exactly one is kept. An empty table gives no rows.
-    """
-    return groups(df, id_col, text_col)
+    return out.select("doc_id", "row", F.when(F.col("top").isNotNull(), F.col("top.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("top.row") == F.col("row"), F.lit(True)).alias("kept"), "text_sha256")
 
 
 def op5_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return groups(table(spark, sf_dir, "documents")).drop("row")
 
 
 ORACLE = """

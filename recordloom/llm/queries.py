@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bpe, exact_dedup, langid, packing, sharding, simhash, token_counts, topk
+from recordloom.llm import bpe, exact_dedup, langid, packing, pii, sharding, simhash, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     found: list[Query] = [
+        pii.op1_weak_supervision_pii,
         langid.op2_rank_order_languages,
         sharding.op3_feistel_shards,
         topk.op4_exact_top_k,
