@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bpe, exact_dedup, langid, packing, pii, sharding, simhash, token_counts, topk
+from recordloom.llm import bpe, exact_dedup, langid, packing, pii, secrets, sharding, simhash, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         exact_dedup.op5_golomb_exact_dedup,
         packing.op6_best_fit_packing,
         simhash.op7_simhash_components,
+        secrets.op8_crf_secrets,
         bpe.op9_bpe_round_trip,
         token_counts.op10_pre_token_counts,
     ]
