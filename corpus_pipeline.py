@@ -27,8 +27,8 @@ MIN_SCORE = 0.25
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = langid.fit(docs, ~langid.held_out())
-    found = langid.predicted(docs, profiles)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    found = langid.predicted(docs, profiles, ("__lang", "__score"))
+    return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).drop("__lang", "__score")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

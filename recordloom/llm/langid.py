@@ -112,21 +112,21 @@ def fit(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "
     return Profiles(found)
 
 
-def predictor(sent) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+def predictor(sent, names: tuple[str, str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = sent.value
         for block in blocks(batches):
             lang, score = zip(*map(profiles.predict, block["text"].fill_null("").to_pylist()), strict=True)
-            yield from block.append_column("lang_pred", pa.array(lang, pa.string())).append_column("score", pa.array(score, pa.float64())).to_batches()
+            yield from block.append_column(names[0], pa.array(lang, pa.string())).append_column(names[1], pa.array(score, pa.float64())).to_batches()
 
     return run
 
 
-def predicted(df: DataFrame, profiles: Profiles) -> DataFrame:
-    """The rows of df (with a string column text) with lang_pred and score."""
+def predicted(df: DataFrame, profiles: Profiles, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of df (with a string column text) with the predicted language and its score, in columns of these names."""
     sent = df.sparkSession.sparkContext.broadcast(profiles)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return prepared(df).mapInArrow(predictor(sent), f"{fields}, lang_pred string, score double")
+    return prepared(df).mapInArrow(predictor(sent, names), f"{fields}, {names[0]} string, {names[1]} double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

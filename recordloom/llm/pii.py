@@ -159,26 +159,23 @@ def features(text: str, kind: str, start: int, end: int, cast: str) -> list[int]
 def reliabilities(patterns: dict[tuple[str, str], int], rounds: int = EM_ROUNDS) -> dict[tuple[str, str], float]:
     """Posterior that a candidate is personal data, for each (kind, votes), by expectation-maximisation.
 
-    A function's votes are independent given the truth. Truth starts as the majority of votes; the estimated chances
-    of each vote under either truth are smoothed by one count. The share of personal data is fixed at PRIOR: most
-    candidates being base matches must not carry those that no function speaks for.
+    Each function is right with a chance of its own whenever it votes, independently given the truth. Truth starts as
+    the majority of votes; in turn, a function's chance is the share of its votes that agree with the truth (smoothed
+    by two right votes and half a wrong one, and never under a coin's), and the truth follows from chances and votes.
+    The share of personal data is fixed at PRIOR: most candidates being base matches must not carry those that no
+    function speaks for.
     """
     out: dict[tuple[str, str], float] = {}
     for kind in sorted({k for k, _ in patterns}):
         seen = sorted(v for k, v in patterns if k == kind)
         n = np.array([patterns[kind, v] for v in seen], float)
-        cast = np.array([["-0+".index(c) for c in v] for v in seen])
-        total = (cast - 1).sum(axis=1)
+        cast = np.array([["-0+".index(c) - 1 for c in v] for v in seen])
+        total = cast.sum(axis=1)
         truth = np.where(total > 0, 0.9, np.where(total < 0, 0.1, PRIOR))
         for _ in range(rounds):
-            score = np.full(len(seen), np.log(PRIOR / (1 - PRIOR)))
-            for j in range(cast.shape[1]):
-                for_, against = (np.bincount(cast[:, j], weight, 3) + 1 for weight in (truth * n, (1 - truth) * n))
-                ratio = np.log(for_ / for_.sum()) - np.log(against / against.sum())
-                # A function never counts against its own vote.
-                ratio[0], ratio[1], ratio[2] = min(ratio[0], 0), 0, max(ratio[2], 0)
-                score += ratio[cast[:, j]]
-            truth = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+            agree = np.where(cast > 0, truth[:, None], np.where(cast < 0, 1 - truth[:, None], 0))
+            chance = np.clip(((agree * n[:, None]).sum(axis=0) + 2) / ((np.abs(cast) * n[:, None]).sum(axis=0) + 2.5), 0.5, 0.99)
+            truth = 1 / (1 + np.exp(-(np.log(PRIOR / (1 - PRIOR)) + cast @ np.log(chance / (1 - chance)))))
         out |= {(kind, v): float(t) for v, t in zip(seen, truth, strict=True)}
     return out
 
