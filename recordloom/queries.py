@@ -123,7 +123,7 @@ criteria("filter_map_records", "customers", "has\tsegment\nngt\tacctbal\t1000\no
 criteria("query_token", "events", "purchase", "type = 'purchase' OR mixed = 'purchase' OR \"user\" = 'purchase' OR value = 'purchase'", lookup=True)
 criteria("query_token_key", "events", "value", "value IS NOT NULL", lookup=True, general=True)
 criteria("query_kv", "orders", "status\tP", "status = 'P'", lookup=True)
-criteria("query_kv_packed", "parts", 'part\t["17","177"]', "len(part) = 2 AND part[1] = '17' AND part[2] = '177'", lookup=True, general=True)
+criteria("query_kv_packed", "parts", 'part\t["940"]', "len(part) = 1 AND part[1] = '940'", lookup=True, general=True)
 criteria("query_present", "events", "@present\tvalue", "value IS NOT NULL", lookup=True)
 criteria("query_absent", "orders", "@absent\tpriority", "priority IS NULL", lookup=True)
 criteria("query_absent_kv", "orders", "@absent\tpriority\t1-URGENT", "priority IS DISTINCT FROM '1-URGENT'", lookup=True)
