@@ -39,7 +39,7 @@ def _out(df: DataFrame, column: str) -> None:
 
 def _matched(store: Store, tree: Tree, show: list[str]) -> None:
     records = store.records()
-    found, seen = predicates.matching_with_warnings(records, tree)
+    found, warnings = predicates.matching_with_warnings(records, tree)
     if not show:
         _out(found, "uuid")
     else:
@@ -48,12 +48,9 @@ def _matched(store: Store, tree: Tree, show: list[str]) -> None:
             _out(shown, "line")
         else:
             export.write_lines(shown, "line", "uuid", show[1], stamp=True)
-    if seen is not None:
-        if show:
-            found.count()
-        for name, n in seen.get.items():
-            if n:
-                print(f"warning: {name}: {n} records without a number", file=sys.stderr)
+    for name, n in warnings().items():
+        if n:
+            print(f"warning: {name}: {n} records without a number", file=sys.stderr)
 
 
 def main(args: list[str]) -> int:

@@ -151,14 +151,19 @@ def skip_counts(tree: Tree, fields: Fields) -> dict[str, Column]:
     return out
 
 
-def matching_with_warnings(records: DataFrame, tree: Tree, fields: Fields | None = None) -> tuple[DataFrame, Observation | None]:
-    """matching(), and an observation that holds skip_counts once the ids were computed: no second scan."""
+def matching_with_warnings(records: DataFrame, tree: Tree, fields: Fields | None = None) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """matching(), and what gives skip_counts once the ids were computed: observed in the same scan.
+
+    A predicate whose argument isn't a number may leave nothing to scan; counts then take a scan of their own.
+    """
     view = fields or MapFields(F.col("fields"))
-    counts = skip_counts(tree, view)
+    counts = [c.alias(n) for n, c in skip_counts(tree, view).items()]
     if not counts:
-        return matching(records, tree, view), None
+        return matching(records, tree, view), dict
+    if any(x.op in NUMERIC and norm_of(x.value) is None for x in leaves(tree)):
+        return matching(records, tree, view), lambda: {n: c or 0 for n, c in records.agg(*counts).first().asDict().items()}
     seen = Observation()
-    return matching(records.observe(seen, *(c.alias(n) for n, c in counts.items())), tree, view), seen
+    return matching(records.observe(seen, *counts), tree, view), lambda: seen.get
 
 
 def matching_triples(triples: DataFrame, universe: DataFrame, tree: Tree) -> DataFrame:
@@ -200,6 +205,8 @@ def matching_triples(triples: DataFrame, universe: DataFrame, tree: Tree) -> Dat
         return reduce(and_, parts, F.lit(True)) if t.op == "and" else reduce(or_, parts, F.lit(False))
 
     condition = tree_of(tree)
+    if not tests:
+        return universe.select("uuid").where(condition).distinct().orderBy("uuid")
     flags = triples.where(F.col("key").isin([x.key for x in wanted])).groupBy("uuid").agg(*(c.alias(n) for n, c in tests.items()))
     return universe.select("uuid").distinct().join(flags, "uuid", "left").where(condition).select("uuid").orderBy("uuid")
 
