@@ -6,8 +6,8 @@ decoded by Viterbi. The CRF is fitted on a bounded sample of text windows (TRAIN
 matches) whose base matches are the labels.
 
 Features of a token are sums of weights by bucket, so a block of texts is scored by array look-ups. Decoding cuts a
-text at tokens that any best path must leave outside: where outside leads the other tags by more than transitions can
-ever make up for. What lies between is decoded by Viterbi, exactly; most text costs a comparison.
+text at tokens that any best path must leave outside: where outside leads the other tags by more than what follows can
+make up for. What lies between is decoded by Viterbi, exactly; most text costs a comparison.
 
 Every text is scanned in the task that reads it; only training windows are shuffled.
 """
@@ -34,6 +34,8 @@ ROUNDS, RATE, L2 = 60, 0.5, 1e-5
 #: Code points of an added span, at least.
 MIN_ADDED = 12
 OUT, BEGIN, INSIDE = range(3)
+#: Weight of a move that can't be.
+BARRED = -1e4
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -175,10 +177,12 @@ class Crf:
             return tags
         scores = self.scores(tokens.features)
         t = self.transition
-        # A tag that gives way to OUT loses at most the spread of the transitions on either side.
-        bound = 2 * float(max(t.max(), self.first.max()) - min(t[np.isfinite(t)].min(), self.first[np.isfinite(self.first)].min()))
-        sure = scores[:, OUT] - scores[:, BEGIN:].max(axis=1) > bound
         new = np.append(True, tokens.doc[1:] != tokens.doc[:-1])
+        # A tag that gives way to OUT changes at most three moves, and if the next tag is INSIDE, it becomes BEGIN.
+        moves = np.concatenate([t.ravel(), self.first])
+        moves = moves[moves > BARRED / 2]
+        turned = np.append(np.where(new[1:], 0, np.maximum(scores[1:, INSIDE] - scores[1:, BEGIN], 0)), 0)
+        sure = scores[:, OUT] - scores[:, BEGIN:].max(axis=1) > 3 * (moves.max() - moves.min()) + turned
         for a, b in runs(~sure, new):
             path = viterbi(scores[a:b], t, self.first if new[a] else t[OUT], t[:, OUT] if b < len(tags) and not new[b] else np.zeros(3))
             tags[a:b] = path
@@ -220,9 +224,6 @@ def labelled(tokens: Tokens, secrets: list[list[tuple[int, int]]]) -> np.ndarray
     return tags
 
 
-BARRED = -1e4
-
-
 def fitted(windows: list[tuple[str, list[tuple[int, int]]]], rounds: int = ROUNDS) -> Crf:
     """Maximum likelihood by AdaGrad; forward and backward run over all windows at once, padded to equal length."""
     transition, first = np.zeros((3, 3)), np.zeros(3)
