@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Text bytes that a Python worker handles at once. Bounds a worker's memory whatever a partition's size.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,3 +91,12 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = B
             held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    released()
+
+
+def released() -> None:
+    """Gives freed memory back to the system: workers are used again by later stages, beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -228,7 +228,8 @@ def packed_documents(df: DataFrame, path: str | None = None, capacity: int = CAP
     A document is its ids and the end id; only documents longer than capacity are cut. Null and empty texts are the
     end id alone; repeated rows are packed each; null ids stay null; an empty table gives no rows.
     """
-    narrow = pieces(df, path, capacity, END_ID, id_col, text_col).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    # Kept before it is packed, so that no task needs a tokenizing and a packing worker at once.
+    narrow = durable(pieces(df, path, capacity, END_ID, id_col, text_col).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return packed(narrow, capacity, max_open)
 
 
