@@ -23,6 +23,8 @@ from recordloom.llm.common import shared_folder, table, without_rows
 
 #: Texts that score below this are like no learned language; clean texts of the learned ones score above 0.35.
 MIN_SCORE = 0.25
+#: Words of a shingle, and how many of 128 bits may differ: SimHash expects 19.4 at a Jaccard similarity of 0.8.
+NEAR_WORDS, NEAR_BITS = 5, 19
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_rows(docs, simhash.near_groups(docs, size=5).where("NOT kept").select("row"))
+    return without_rows(docs, simhash.near_groups(docs, NEAR_WORDS, NEAR_BITS, wide=True).where("NOT kept").select("row"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Near-duplicates by SimHash: a binary trie self-join of fingerprints, then connected components.
 
 Fingerprints of 64 bits link when at most `budget` bits differ. Cut into blocks of bits, two such fingerprints agree
-on all but `budget` blocks; so for every choice of blocks - budget blocks, fingerprints meet that agree there. Below
-each such shared prefix their remaining bits form a binary trie, which is joined with itself: pairs of nodes are
+on all but `budget` blocks; so for every choice of blocks - budget blocks, fingerprints meet that agree there. Wide
+fingerprints have a second half of 64 bits and link when at most `budget` of 128 bits differ; then at most half of the
+budget differs in one of the halves, by which they meet, and both halves are counted. Below each such shared prefix their remaining bits form a binary trie, which is joined with itself: pairs of nodes are
 traversed together, differing bits add up, and a pair is left once they exceed the budget. Every link is found.
 
 Only distinct fingerprints take part, so exact copies cost nothing; links are united within a task, which reports a
@@ -28,49 +29,70 @@ SHINGLE, BUDGET, SEED, BITS = 4, 4, 42, 64
 COUNT_AT_ONCE = 1 << 14
 #: Node pairs that are expanded at once, and pairs of fingerprints at which a node pair is compared outright.
 PAIRS, SMALL = 1 << 14, 64
+#: Fingerprints that share a prefix, if they were random.
+GROUP = 1 << 12
 #: Fingerprints of whole groups that a task joins at once; one group is never split.
 JOIN_AT_ONCE = 1 << 17
 
 
-def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of a text's word shingles; fewer words than a shingle's are one shingle, none give 0."""
+def remixed(h: np.ndarray) -> np.ndarray:
+    """Hashes whose bits don't depend on those of h in any simple way."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str, size: int = SHINGLE, wide: bool = False, seed: int = SEED) -> tuple[int, int]:
+    """SimHash of a text's word shingles, and its second half or 0.
+
+    Fewer words than a shingle's are one shingle; no words give 0.
+    """
     words = text.encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return 0, 0
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return digest(joined, seed)
     ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[:-size]]).tolist()
-    stops = (ends[size - 1 :] - 1).tolist()
-    counts = np.zeros(BITS, np.int64)
+    starts = np.concatenate([[0], ends[:-size]]).tolist() if len(words) > size else [0]
+    stops = (ends[size - 1 :] - 1).tolist() if len(words) > size else [len(joined)]
+    counts = np.zeros((2, BITS), np.int64)
     for low in range(0, len(starts), COUNT_AT_ONCE):
         hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[low : low + COUNT_AT_ONCE], stops[low : low + COUNT_AT_ONCE], strict=True)], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+        counts[0] += bit_counts(hashes)
+        if wide:
+            counts[1] += bit_counts(remixed(hashes))
+    first, second = np.packbits(2 * counts > len(starts), axis=1, bitorder="little").view("<u8").ravel().tolist()
+    return first, second
 
 
-def fingerprinter(size: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def fingerprinter(size: int, wide: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            prints = np.array([fingerprint(t, size) for t in block["text"].to_pylist()], np.uint64)
-            yield from block.drop_columns("text").append_column("fp", pa.array(prints.view(np.int64))).to_batches()
+            prints = np.array([fingerprint(t, size, wide) for t in block["text"].to_pylist()], np.uint64).view(np.int64)
+            rows = block.drop_columns("text").append_column("fp", pa.array(prints[:, 0])).append_column("fp2", pa.array(prints[:, 1]))
+            yield from rows.to_batches()
 
     return run
 
 
-def fingerprints(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row (a number of the row in its scan) and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(df: DataFrame, size: int = SHINGLE, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row (a number of the row in its scan), fp and fp2 (the fingerprint's halves as signed longs) of every row."""
     texts = keyed_texts(df, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    return texts.mapInArrow(fingerprinter(size), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, row long, fp long")
+    return texts.mapInArrow(fingerprinter(size, wide), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, row long, fp long, fp2 long")
 
 
 def masks(n: int, budget: int) -> list[int]:
-    """Bit masks of the shared blocks. More fingerprints get more blocks, thus longer shared prefixes."""
-    count = budget + (1 if n <= 1 << 24 else 2 if n <= 1 << 32 else 3)
+    """Bit masks of the shared blocks. More fingerprints get more blocks, thus longer shared prefixes, for groups of about GROUP."""
+    agree = 1
+    while n >> (BITS * agree // (budget + agree)) > GROUP:
+        agree += 1
+    count = budget + agree
     edges = [BITS * i // count for i in range(count + 1)]
     ranges = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(ranges, count - budget)]
+    return [sum(c) for c in combinations(ranges, agree)]
 
 
 def unite(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
@@ -86,8 +108,11 @@ def unite(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
             labels[:] = up
 
 
-def trie_links(codes: np.ndarray, starts: np.ndarray, budget: int, labels: np.ndarray) -> None:
-    """Unites (in labels) all codes of a group at distance budget or less. Groups begin at starts; codes rise within each."""
+def trie_links(codes: np.ndarray, starts: np.ndarray, budget: int, labels: np.ndarray, others: np.ndarray | None = None, total: int | None = None) -> None:
+    """Unites (in labels) all codes of a group at distance budget or less. Groups begin at starts; codes rise within each.
+
+    With others, the second halves, distances over both halves must also be total or less.
+    """
     ends = np.append(starts[1:], len(codes))
     ones: dict[int, np.ndarray] = {}
 
@@ -97,9 +122,12 @@ def trie_links(codes: np.ndarray, starts: np.ndarray, budget: int, labels: np.nd
         pair = np.repeat(np.arange(len(cells)), cells)
         cell = np.arange(len(pair)) - np.repeat(np.cumsum(cells) - cells, cells)
         i, j = a_low[pair] + cell // width[pair], b_low[pair] + cell % width[pair]
-        near = (i < j) & (labels[i] != labels[j])
-        i, j = i[near], j[near]
-        near = np.bitwise_count(codes[i] ^ codes[j]) <= budget
+        apart = (i < j) & (labels[i] != labels[j])
+        i, j = i[apart], j[apart]
+        differ = np.bitwise_count(codes[i] ^ codes[j]).astype(np.int64)
+        near = differ <= budget
+        if others is not None:
+            near &= differ + np.bitwise_count(others[i] ^ others[j]) <= total
         unite(labels, i[near], j[near])
 
     whole = np.stack([starts, ends, starts, ends, np.zeros(len(starts), np.int64)])
@@ -109,14 +137,13 @@ def trie_links(codes: np.ndarray, starts: np.ndarray, budget: int, labels: np.nd
         if pairs.shape[1] > PAIRS:
             todo.append((bit, pairs[:, PAIRS:]))
             pairs = pairs[:, :PAIRS]
-        small = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2]) <= SMALL
-        if small.any() or bit < 0:
-            done = pairs if bit < 0 else pairs[:, small]
-            if bit < 0:  # equal codes on either side: at most budget bits differ, and codes are distinct
-                unite(labels, done[0], done[2])
-            else:
-                compared(*done[:4])
-            pairs = pairs[:, ~small] if bit >= 0 else pairs[:, :0]
+        # What is one set already needs no comparison: changes[k] counts the labels that differ from their left neighbour.
+        changes = np.cumsum(np.append(False, labels[1:] != labels[:-1]))
+        one = (changes[pairs[0]] == changes[pairs[1] - 1]) & (changes[pairs[2]] == changes[pairs[3] - 1]) & (labels[pairs[0]] == labels[pairs[2]])
+        pairs = pairs[:, ~one]
+        small = ((pairs[1] - pairs[0]) * (pairs[3] - pairs[2]) <= SMALL) | (bit < 0)
+        compared(*pairs[:4, small])
+        pairs = pairs[:, ~small]
         if not pairs.shape[1]:
             continue
         if bit not in ones:
@@ -133,52 +160,52 @@ def trie_links(codes: np.ndarray, starts: np.ndarray, budget: int, labels: np.nd
         todo.append((bit - 1, children))
 
 
-def joiner(budget: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """mapInArrow function over (mask, key, fp) sorted so: a spanning forest (a > b) of each partition's links."""
+def joiner(budget: int, total: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow function over (mask, key, code, other, node), sorted by the first two: a spanning forest (a > b) of the nodes that link."""
 
-    def forest(held: list[np.ndarray]) -> pa.RecordBatch | None:
-        mask, key, code = np.concatenate(held, axis=1)
-        changes = np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1
-        starts = np.concatenate([[0], changes])
-        codes = code.view(np.uint64)
+    def forest(rows: np.ndarray) -> pa.RecordBatch | None:
+        mask, key, code, other, node = rows
+        starts = np.concatenate([[0], np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1])
+        codes, others = code.view(np.uint64), other.view(np.uint64)
         order = np.lexsort((codes, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(codes))))))
-        codes = codes[order]
         labels = np.arange(len(codes))
-        trie_links(codes, starts, budget, labels)
+        trie_links(codes[order], starts, budget, labels, others[order], total)
         linked = np.flatnonzero(labels != np.arange(len(codes)))
         if not len(linked):
             return None
-        signed = codes.view(np.int64)
-        x, y = signed[linked], signed[labels[linked]]
+        x, y = node[order][linked], node[order][labels[linked]]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held = np.zeros((5, 0), np.int64)
+        parts: list[np.ndarray] = []
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
-            held.append(rows)
-            if sum(x.shape[1] for x in held) >= JOIN_AT_ONCE:
-                last = rows[:2, -1]
-                whole = np.concatenate(held, axis=1)
-                new = np.flatnonzero((whole[0] != last[0]) | (whole[1] != last[1]))
-                cut = new[-1] + 1 if len(new) else 0
-                if cut:
-                    held = [whole[:, cut:]]
-                    if (out := forest([whole[:, :cut]])) is not None:
-                        yield out
-        if sum(x.shape[1] for x in held) and (out := forest(held)) is not None:
+            parts.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]))
+            if sum(x.shape[1] for x in parts) >= JOIN_AT_ONCE:
+                held, parts = np.concatenate([held, *parts], axis=1), []
+                other = np.flatnonzero((held[0] != held[0, -1]) | (held[1] != held[1, -1]))
+                cut = other[-1] + 1 if len(other) else 0  # where the last group, which may go on, begins
+                if cut and (out := forest(held[:, :cut])) is not None:
+                    yield out
+                held = held[:, cut:]
+        held = np.concatenate([held, *parts], axis=1)
+        if held.shape[1] and (out := forest(held)) is not None:
             yield out
 
     return run
 
 
-def links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Edges (a > b) that span, with others, each set of distinct fingerprints (column fp) linked within budget bits."""
-    wanted = masks(nodes.count(), budget)
-    keys = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")).alias("key")) for i, m in enumerate(wanted)])
-    dealt = prepared(nodes).select("fp", F.inline(keys)).select("mask", "key", "fp")
+def links(nodes: DataFrame, budget: int = BUDGET, wide: bool = False) -> DataFrame:
+    """Edges (a > b) between nodes (columns node, fp, fp2) that span, with others, each set linked within budget bits."""
+    half = budget // 2 if wide else budget
+    wanted = [m if m < 1 << 63 else m - (1 << 64) for m in masks(nodes.count(), half)]
+    fp, fp2 = F.col("fp"), F.col("fp2")
+    keys = [F.struct(F.lit(i).alias("mask"), fp.bitwiseAND(F.lit(m).cast("long")).alias("key"), fp.alias("code"), fp2.alias("other")) for i, m in enumerate(wanted)]
+    if wide:
+        keys += [F.struct(F.lit(len(wanted) + i).alias("mask"), fp2.bitwiseAND(F.lit(m).cast("long")).alias("key"), fp2.alias("code"), fp.alias("other")) for i, m in enumerate(wanted)]
+    dealt = prepared(nodes).select("node", F.inline(F.array(*keys))).select("mask", "key", "code", "other", "node")
     sorted_ = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key")
-    return sorted_.mapInArrow(joiner(budget), "a long, b long").distinct()
+    return sorted_.mapInArrow(joiner(half, budget), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,20 +227,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(edges.select("b", "b").distinct())
 
 
-def near_groups(df: DataFrame, size: int = SHINGLE, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(df: DataFrame, size: int = SHINGLE, budget: int = BUDGET, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row, fp, component_id and kept of every row of df.
 
     component_id is the smallest id of the rows linked to a row, directly or through others, itself included; null ids
     count only if a component has no other. Null texts are empty texts, whose fingerprint is 0. Of each component one
     row is kept: that of the smallest id, null ids last, and of repeated ids the first read. No rows give no rows.
     """
-    prints = durable(fingerprints(df, size, id_col, text_col))
-    nodes = durable(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("low")))
-    roots = components(links(nodes.select("fp"), budget))
-    member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    prints = durable(fingerprints(df, size, wide, id_col, text_col))
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("low")
+    nodes = durable(prints.groupBy("fp", "fp2").agg(lowest).withColumn("node", F.col("low.row")))
+    roots = components(links(nodes.select("node", "fp", "fp2"), budget, wide)).withColumnRenamed("node", "linked")
+    member = nodes.join(roots, F.col("node") == F.col("linked"), "left").select("fp", "fp2", "low", F.coalesce("root", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("low").alias("first"))
-    of = durable(member.join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept_row")))
-    return prints.join(of, "fp").select("doc_id", "row", "fp", "component_id", (F.col("row") == F.col("kept_row")).alias("kept"))
+    of = durable(member.join(least, "root").select("fp", "fp2", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept_row")))
+    return prints.join(of, ["fp", "fp2"]).select("doc_id", "row", "fp", "component_id", (F.col("row") == F.col("kept_row")).alias("kept"))
 
 
 def shown(fp: Column) -> Column:

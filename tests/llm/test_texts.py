@@ -141,14 +141,45 @@ def test_trie_join_finds_every_link(n, flips):
     assert np.array_equal(got, want)
 
 
-@pytest.mark.parametrize("n", [1000, 1 << 30, 1 << 40])
-def test_masks_miss_no_pair(n):
-    rng, wanted = random.Random(4), simhash.masks(n, 4)
-    for _ in range(2000):
-        d = sum({1 << rng.randrange(64) for _ in range(4)})
+@pytest.mark.parametrize("budget", [4, 9])
+@pytest.mark.parametrize("n", [1000, 1 << 20, 1 << 30, 1 << 40])
+def test_masks_miss_no_pair(n, budget):
+    rng, wanted = random.Random(4), simhash.masks(n, min(budget, 9 if n < 1 << 25 else 4))
+    for _ in range(500):
+        d = sum({1 << rng.randrange(64) for _ in range(min(budget, 9 if n < 1 << 25 else 4))})
         assert any(d & m == 0 for m in wanted)
 
 
+@pytest.mark.parametrize("group", [1, 1 << 12])
+def test_wide_links_against_all_pairs(spark, group, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = np.random.default_rng(9)
+    first, second = (np.repeat(rng.integers(0, 2**63, 12, dtype=np.uint64), 25) for _ in range(2))
+    for _ in range(6):
+        first, second = (x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)) for x in (first, second))
+    rows = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(first.view(np.int64), second.view(np.int64), strict=True))]
+    nodes = spark.createDataFrame(rows, "node long, fp long, fp2 long").repartition(3)
+    got, want = np.arange(len(rows)), np.arange(len(rows))
+    for r in simhash.components(simhash.links(nodes, 12, wide=True)).collect():
+        got[r.node] = r.root
+    apart = np.bitwise_count(first[:, None] ^ first).astype(int) + np.bitwise_count(second[:, None] ^ second)
+    simhash.unite(want, *np.nonzero(np.triu(apart <= 12, 1)))
+    assert np.array_equal(got, want) and 12 < len(set(want.tolist())) < len(rows)
+
+
+def test_near_copies_are_caught_and_others_kept(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("aeioustrnl") for _ in range(r.randrange(3, 9))) for _ in range(3000)]
+    rows = []
+    for i in range(60):
+        text = [r.choice(words) for _ in range(600)]
+        near = list(text)
+        near[r.randrange(600)] = "changed"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(near))]
+    found = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 19, wide=True).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i - i % 2 for i in range(120)}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i + 1, i) for i in range(60)] + [(i, 1000) for i in range(1001, 1400)] + [(-5, -9)]
     got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
