@@ -100,12 +100,11 @@ class Store:
             now = self.records(base)
             log.validate(now, wal)
             number = base.number + 1
-            n = wal.count()
+            n, top = wal.agg(F.count(F.lit(1)), F.coalesce(F.max("seq"), F.lit(0))).first()
             if not n and not compact:
                 return base
             made = f"{self.root}/wal/{number}-{uuid.uuid4().hex}"
             wal.select((F.col("seq") + base.next_seq).alias("seq"), "op", "uuid", "fields").write.parquet(made)
-            top = wal.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top")).first()["top"]
             after = Version(number, base.base, (*base.wal, made), base.pending + n, base.next_seq + top + 1, made)
             if compact or after.pending >= self.threshold:
                 folder = f"{made.replace('/wal/', '/base/')}"

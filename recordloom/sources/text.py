@@ -49,11 +49,6 @@ def _fields(parts: Column) -> tuple[Column, Column]:
     return F.when(wrong.isNull(), F.map_from_arrays(keys, F.transform(keys, value))), wrong
 
 
-def shaped(fields: Column) -> Column:
-    """Whether a single value looks like an array or an object. Repeated keys have become arrays; they are told apart by parts."""
-    return F.exists(F.map_values(fields), lambda v: (F.length(v) >= 2) & ((v.startswith("[") & v.endswith("]")) | (v.startswith("{") & v.endswith("}"))))
-
-
 def actions_of(rows: DataFrame) -> DataFrame:
     """seq, op, uuid, fields and error of rows line, text of an action log; blank and comment lines go."""
     text = F.regexp_replace("text", "\\r+$", "")
