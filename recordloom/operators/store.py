@@ -88,17 +88,30 @@ class Store:
     def pending(self, v: Version) -> DataFrame:
         return self.spark.read.schema(ACTIONS).parquet(*v.wal) if v.wal else self.spark.createDataFrame([], ACTIONS)
 
-    def records(self, v: Version | None = None) -> DataFrame:
-        """Records of a version (default: the newest), pending actions replayed."""
+    def records(self, v: Version | None = None, only: DataFrame | None = None) -> DataFrame:
+        """Records of a version (default: the newest), pending actions replayed; if asked, only those of some ids."""
         v = v or self.version()
-        return log.replayed_cells(self.base(v), self.pending(v)) if v.wal else self.base(v)
+        base, pending = self.base(v), self.pending(v)
+        if only is not None:
+            base, pending = (x.join(only, "uuid", "left_semi") for x in (base, pending))
+        return log.replayed_cells(base, pending) if v.wal else base
 
     def apply(self, wal: DataFrame, compact: bool = False) -> Version:
         """Validates all actions against the newest version and commits them as one, or raises and changes nothing."""
-        base = self.version()
+        wal = wal.select("seq", "op", "uuid", "fields").persist()
+        try:
+            return self._applied(wal, compact)
+        finally:
+            wal.unpersist()
+
+    def _applied(self, wal: DataFrame, compact: bool) -> Version:
+        base, touched = self.version(), wal.select("uuid").distinct()
         while True:
-            now = self.records(base)
-            log.validate(now, wal)
+            now = self.records(base, touched).persist()  # as many records as the actions touch
+            try:
+                log.validate(now, wal)
+            finally:
+                now.unpersist()
             number = base.number + 1
             n, top = wal.agg(F.count(F.lit(1)), F.coalesce(F.max("seq"), F.lit(0))).first()
             if not n and not compact:
