@@ -87,6 +87,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = B
                 held.append(batch.slice(start, i + 1 - start))
                 yield pa.Table.from_batches(held)
                 held, size, start = [], 0, i + 1
+                released()
         if start < batch.num_rows:
             held.append(batch.slice(start))
     if held:

@@ -29,6 +29,8 @@ from recordloom.llm.bpe import byte_of_char
 from recordloom.llm.common import blocks, durable, keyed_texts, prepared, table
 
 CAPACITY, MAX_OPEN, END_ID = 4096, 512, 1
+#: Text bytes that are encoded at once.
+TEXT_BYTES = 3 << 20
 #: Left-over bins that one task of the second pass packs.
 LEFTOVERS = 1 << 16
 
@@ -165,7 +167,7 @@ class OpenBins:
 def piece_rows(sent, capacity: int, end_id: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_encoder(sent.value)
-        for block in blocks(batches):
+        for block in blocks(batches, limit=TEXT_BYTES):
             ids, counts = coder.encode(block["text"].to_pylist())
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id).astype("<u4")
