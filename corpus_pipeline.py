@@ -2,7 +2,7 @@
 
 1. language ID drops documents whose language isn't known (no letters, or like no learned language);
 2. exact de-duplication keeps the row of the largest id of equal texts;
-3. SimHash near-de-duplication keeps one document of each group;
+3. near-de-duplication keeps one document of each group linked by a Jaccard similarity of 0.8 or more, computed exactly;
 4. personal data is replaced by its kind;
 5. the documents left are packed into token sequences.
 
@@ -18,13 +18,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import exact_dedup, langid, packing, pii, simhash
+from recordloom.llm import exact_dedup, langid, packing, pii, similarity
 from recordloom.llm.common import shared_folder, table, without_rows
 
 #: Texts that score below this are like no learned language; clean texts of the learned ones score above 0.35.
 MIN_SCORE = 0.25
-#: Words of a shingle, and how many of 128 bits may differ: SimHash expects 19.4 at a Jaccard similarity of 0.8.
-NEAR_WORDS, NEAR_BITS = 5, 19
+#: Words of a shingle.
+NEAR_WORDS = 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_rows(docs, simhash.near_groups(docs, NEAR_WORDS, NEAR_BITS, wide=True).where("NOT kept").select("row"))
+    return without_rows(docs, similarity.near_groups(docs, NEAR_WORDS).where("NOT kept").select("row"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
