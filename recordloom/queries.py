@@ -307,6 +307,16 @@ def array_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "packed", F.size(back).alias("n"), F.array_join(back, "|").alias("back"))
 
 
+@query("""WITH i AS (SELECT doc_id, string_split(text, ' ') AS items FROM documents)
+ SELECT doc_id, md5('[' || array_to_string(list_transform(items, lambda x: '"' || replace(replace(x, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"'), ',') || ']') AS packed, CAST(len(items) AS INTEGER) AS n, md5(array_to_string(items, '|')) AS back FROM i""")
+def array_codec_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """array_codec over whole texts."""
+    items = tables.read(spark, sf_dir, "documents").select("doc_id", F.split("text", " ", -1).alias("items"))
+    coded = items.select("doc_id", codec.encode_array(F.col("items")).alias("packed"))
+    back = codec.decode_array(F.col("packed"))
+    return coded.select("doc_id", F.md5("packed").alias("packed"), F.size(back).alias("n"), F.md5(F.array_join(back, "|")).alias("back"))
+
+
 @query("SELECT event_id, '# ' || strftime(ts, '%Y%d%m%H%M%S') AS footer FROM events")
 def footer_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("# "), codec.footer(F.col("ts"))).alias("footer"))

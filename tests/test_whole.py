@@ -1,0 +1,19 @@
+"""Queries whose input is taken whole."""
+
+from recordloom import queries
+
+
+def test_array_codec_takes_text_past_200_characters(spark, tmp_path):
+    texts = ["w " * 150 + 'a "quoted" back\\\\slash\x07 end', "x " * 20000 + '"', "", " "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    import hashlib
+
+    def md5(x):
+        return hashlib.md5(x.encode()).hexdigest()
+
+    want = set()
+    for i, t in enumerate(texts):
+        items = t.split(" ")
+        packed = "[" + ",".join('"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"' for x in items) + "]"
+        want.add((i, md5(packed), len(items), md5("|".join(items))))
+    assert {tuple(r) for r in queries.queries()["array_codec_whole"](spark, str(tmp_path)).collect()} == want
