@@ -452,6 +452,15 @@ def records_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetch.json_rows(tables.records(tables.events(spark, sf_dir)), wanted)
 
 
+@query(f"""WITH {EVENTS}, i AS (SELECT event_id * 2 AS pos, {sql_id('E', 'event_id')} AS uuid FROM events UNION ALL SELECT event_id * 2 + 1, {sql_id('E', 'event_id')} FROM events WHERE event_id % 10 = 0)
+ SELECT pos, {JSON} AS json FROM i JOIN e USING (uuid)""")
+def records_jsonl_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """records_jsonl of every event, and of each tenth twice."""
+    rows = tables.read(spark, sf_dir, "events").select("event_id", ids.numbered("E", F.col("event_id")).alias("uuid"))
+    again = rows.where("event_id % 10 = 0").select((F.col("event_id") * 2 + 1).alias("pos"), "uuid")
+    return fetch.json_rows(tables.records(tables.events(spark, sf_dir)), rows.select((F.col("event_id") * 2).alias("pos"), "uuid").union(again))
+
+
 @query(f"""WITH {EVENTS}, i AS (SELECT event_id AS pos, {sql_id('E', 'event_id * 2')} AS uuid FROM events)
  SELECT pos, CASE WHEN e.uuid IS NULL THEN '{{"_uuid":"' || i.uuid || '","_missing":true}}' ELSE {JSON.replace('|| uuid ||', '|| i.uuid ||')} END AS json FROM i LEFT JOIN e USING (uuid)""")
 def records_missing(spark: SparkSession, sf_dir: str) -> DataFrame:

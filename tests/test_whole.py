@@ -17,3 +17,12 @@ def test_array_codec_takes_text_past_200_characters(spark, tmp_path):
         packed = "[" + ",".join('"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"' for x in items) + "]"
         want.add((i, md5(packed), len(items), md5("|".join(items))))
     assert {tuple(r) for r in queries.queries()["array_codec_whole"](spark, str(tmp_path)).collect()} == want
+
+
+def test_records_jsonl_renders_every_event(spark, tmp_path, tiny):
+    events = spark.read.parquet(f"{tiny}/events.parquet")
+    more = events.withColumn("event_id", events.event_id + 5001)
+    events.union(more).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.pos for r in queries.queries()["records_jsonl_whole"](spark, str(tmp_path)).collect()}
+    wanted = [r.event_id for r in events.union(more).select("event_id").collect()]
+    assert got == {2 * i for i in wanted} | {2 * i + 1 for i in wanted if i % 10 == 0}
