@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -34,30 +36,72 @@ def prepared(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder (spark.checkpoint.dir); where none is set, as in tests, a temporary one."""
+    """The cluster's checkpoint folder (spark.checkpoint.dir). Only a session that runs in one process may lack one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="recordloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="recordloom-"))
     return sc.getCheckpointDir()
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, if it is there, wherever its file system is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """The rows written to the cluster's checkpoint folder, so that neither lost executors nor later uses recompute them."""
+    """The rows written to the cluster's checkpoint folder, so that neither lost executors nor later uses recompute them.
+
+    Spark removes the files once nothing refers to them if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-#: Row numbers (8 bytes each) that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
+#: Narrow rows (some ten to a hundred bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
+
+
+def beside(df: DataFrame) -> DataFrame:
+    """A durable table as the side of a join: broadcast if it has few rows; else plain, so that Spark may split hot keys."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs, a table as read, without the rows of these numbers (column row) in its scan."""
-    dropped = durable(dropped)
-    small = dropped.count() <= BROADCAST_ROWS
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    right = dropped.select(F.col("row").alias("__row"))
-    return numbered.join(F.broadcast(right) if small else right, "__row", "left_anti").drop("__row")
+def plain_files(df: DataFrame) -> bool:
+    """Whether df is rows of one table in Parquet files, maybe filtered or projected."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.toString().rpartition(" ")[2]
+
+
+def row_keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a key of each row, and the key's column name. A row has the same key however often and by whatever splits it is read.
+
+    The key is the place in the files (a hash of the file's path, and the row's index there). Rows that don't come
+    straight from Parquet files are written once and numbered as written.
+    """
+    name = free_name(df, "row")
+    if plain_files(df):
+        place = df.metadataColumn("_metadata")
+        return df.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias(name)), name
+    kept = durable(df.select("*", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")).alias(name)))
+    return kept, name
+
+
+def without_rows(keyed: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """The rows of keyed but those of the keys dropped (its one column), without the key."""
+    return keyed.join(beside(durable(dropped.toDF(key))), key, "left_anti").drop(key)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -68,9 +112,14 @@ def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
 
 
-def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and text alone, null texts as empty ones; other columns, whatever their names, don't take part."""
-    return prepared(df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text")))
+def keyed_texts(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """doc_id, text and what else is asked for, null texts as empty ones; other columns, whatever their names, don't take part."""
+    return prepared(df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"), *more))
+
+
+def schema_with(df: DataFrame, more: str) -> StructType:
+    """df's columns without `text`, and the columns of the schema string."""
+    return StructType([f for f in df.schema if f.name != "text"] + StructType.fromDDL(more).fields)
 
 
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:

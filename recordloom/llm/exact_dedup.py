@@ -8,8 +8,10 @@
    with their texts, and only one of each text for each task: texts are grouped byte for byte, pre-aggregated.
 4. Narrow rows (id, hash, digest) get the kept row of their verified group.
 
-A block sends each hash once, so a text that a third of all rows share is one entry of each message. The join that
-brings the verdict back has one row for each group on its right side; its left side may be split where a group is hot.
+A block sends each hash once, so a text that a third of all rows share is one entry of each message. Blocks and owners
+hold a fixed number of hashes however many partitions there are, so messages are as many as the square of the hashes'
+number by BLOCK_ROWS x OWNER_HASHES: a hundred hashes each at 10^11 rows. Verdicts, one row for each group of copies, are
+written down and then joined to the rows: broadcast while they are few, else by a plain join whose hot keys Spark splits.
 """
 
 from __future__ import annotations
@@ -23,13 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import durable, prepared, shuffle_partitions, table, text_or_empty
+from recordloom.llm.common import beside, durable, prepared, row_keyed, shuffle_partitions, table, text_or_empty
 
 #: Rows of a block, and hashes that an owner holds at once: bounds of a worker's memory.
-BLOCK_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 21
 OWNER_HASHES = 1 << 20
-#: Marked hashes that are broadcast (8 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_HASHES = 1 << 20
 
 
 def rice_encode(gaps: np.ndarray) -> bytes:
@@ -114,30 +114,33 @@ def suspects(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def marked_hashes(narrow: DataFrame) -> DataFrame:
     """Distinct hashes (column h) that more than one row of narrow holds."""
-    owners = max(shuffle_partitions(narrow.sparkSession), -(-narrow.count() // OWNER_HASHES))
-    sent = durable(narrow.select("h").mapInArrow(messages(owners), MESSAGE))
+    least, n = shuffle_partitions(narrow.sparkSession), narrow.count()
+    owners = max(least, -(-n // OWNER_HASHES))
+    sent = durable(narrow.select("h").coalesce(max(least, -(-n // BLOCK_ROWS))).mapInArrow(messages(owners), MESSAGE))
     answered = sent.groupBy("owner").applyInPandas(answers, "owner int, block long, bitmap binary")
     return sent.join(answered, ["owner", "block"]).select("n", "hashes", "bitmap").mapInArrow(suspects, "h long").distinct()
 
 
-def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of equal texts: doc_id, row (a number of the row in its scan), keep_id, group_size, kept, text_sha256.
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
+    """Groups of equal texts: doc_id, row (the row's key), keep_id, group_size, kept, text_sha256.
 
     One row for each row of df. Null texts are empty texts. The row with the largest id is kept; null ids are
-    smallest; of repeated rows with the largest id exactly one is kept. An empty table gives no rows.
+    smallest; of repeated rows with the largest id exactly one is kept. An empty table gives no rows. The key's column
+    may be given where df has one from row_keyed.
     """
-    texts = prepared(df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text")))
+    if key is None:
+        df, key = row_keyed(df)
+    texts = prepared(df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(f"`{key}`").alias("row")))
     texts = texts.withColumn("h", F.xxhash64("text"))
-    narrow = durable(texts.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")))
-    marked = durable(marked_hashes(narrow))
-    small = marked.count() <= BROADCAST_HASHES
-    shuffled = texts.join(F.broadcast(marked) if small else marked, "h", "left_semi")
+    narrow = durable(texts.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256"), "row"))
+    marked = beside(durable(marked_hashes(narrow)))
+    shuffled = texts.join(marked, "h", "left_semi")
     same = shuffled.groupBy("h", "text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.sha2("text", 256).alias("text_sha256"))
     verified = same.groupBy("h", "text_sha256").agg(F.count(F.lit(1)).alias("texts"))
     verified = verified.where(F.when(F.col("texts") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("different texts share both digests")).cast("boolean"))).select("h", "text_sha256")
     top = F.max(F.struct("doc_id", "row"))
-    kept = narrow.join(F.broadcast(marked) if small else marked, "h", "left_semi").groupBy("h", "text_sha256").agg(top.alias("top"), F.count(F.lit(1)).alias("group_size"))
-    kept = kept.join(verified, ["h", "text_sha256"]).select("h", "text_sha256", "top", "group_size")
+    kept = narrow.join(marked, "h", "left_semi").groupBy("h", "text_sha256").agg(top.alias("top"), F.count(F.lit(1)).alias("group_size"))
+    kept = beside(durable(kept.join(verified, ["h", "text_sha256"]).select("h", "text_sha256", "top", "group_size")))
     out = narrow.join(kept, ["h", "text_sha256"], "left")
     return out.select("doc_id", "row", F.when(F.col("top").isNotNull(), F.col("top.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("top.row") == F.col("row"), F.lit(True)).alias("kept"), "text_sha256")
 

@@ -1,21 +1,22 @@
-"""Near-duplicates by the exact Jaccard similarity of distinct word shingles: a prefix-filtered self-join, then components.
-
-Two sets of similarity 4/5 or more share one of the first n - ceil(4n/5) + 1 shingles of each, whatever order all
-shingles are put in, where n is a set's size. So sets meet by the shingles of their prefixes; sizes, and the places of a
-shared shingle, rule out most that meet. Each set has a bitmap, about a bit for each shingle, in which every shingle
-flips one bit: two sets differ in at least as many shingles as their bitmaps in bits, which rules out most of the rest.
-What is left is decided by the sets themselves. No link is missed and none is an estimate (shingles count as equal if
-their 64-bit hashes are).
-
-The order decides only how many sets meet in vain: shingles that are frequent in a sample of texts come last.
-
-Texts of equal sets are one node. A large group of near copies meets in all its shingles: first each meets a few of
-those that share a shingle with it, and only sets that this leaves in different components are compared further.
+"""Near-duplicates by SimHash with an exact check: texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
+
+1. Each text's distinct shingles give a SimHash of 128 bits, and BANDS keys by which texts meet: a key is the least
+   shingle under two random orders. Two sets of similarity s share a key with a chance of 1 - (1 - s^2)^BANDS: at 0.8
+   all but four in 100,000 meet, and the number of keys doesn't grow with the input.
+2. Texts that share a key are joined by the binary trie self-join of simhash.py, with an error budget of BUDGET of 128
+   bits. Sets of similarity 0.8 differ in 19 bits on average, with a deviation of 4, so none is likely to be lost.
+3. An exact check follows, whose first steps are cheap bounds: sizes, then bitmaps of about a bit for each shingle, in
+   which each shingle flips one bit, so that two sets differ in at least as many shingles as their bitmaps in bits. What
+   is left is decided by the sets themselves (shingles count as equal if their 64-bit hashes are).
+
+Texts of equal sets are one node. Copies in a large group would meet in all pairs: so first each text meets only a few
+of those that share a key with it, the pivots, and then only texts that this left in different components meet.
+Keys that many texts share are dealt over tasks in chunks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,45 +24,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import BROADCAST_ROWS, blocks, durable, keyed_texts
-from recordloom.llm.simhash import BITS, SEED, components, remixed
+from recordloom.llm.common import beside, blocks, durable, keyed_texts, row_keyed, schema_with
+from recordloom.llm.simhash import BITS, LIMIT, Rows, components, dealt, grouped, lowest, majority, remixed, roots, shingle_hashes, tasks, trie_pairs, whole_groups
 
 #: Sets link at a similarity of PART / WHOLE or more.
 PART, WHOLE = 4, 5
-#: Shingles hashed at once, and prefix rows or pairs that a task handles at once; rows of one shingle stay together.
-HASH_AT_ONCE, ROWS_AT_ONCE = 1 << 14, 1 << 17
-#: The sample is one text of SPARSE, but SAMPLE texts at least; in how many of them a shingle is frequent; and how many
-#: frequent shingles are ordered at most.
-SPARSE, SAMPLE, OFTEN, MOST = 8, 10_000, 3, 1 << 20
-#: Each salt has its own sets, of those that share a shingle, that the others meet first.
+#: Differing bits of 128 at which texts still meet, and keys of two least shingles each by which they do.
+BUDGET, BANDS = 44, 10
+#: Each salt has its own pivot for each key.
 SALTS = (0x51, 0xA7, 0xF3)
 #: Longs of the bitmaps that tasks compare before they report a pair; long texts need the longer ones, compared after.
 FIXED = 8
-
-Rows = Iterable[pa.RecordBatch]
+ORDERS = remixed(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
 
 
 def shingles(text: str, size: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles. Fewer words than a shingle's are one shingle, as are none."""
-    words = text.encode().lower().split()  # bytes: A-Z and ASCII white space only
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return np.array([digest(joined, SEED)], np.uint64).view(np.int64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts, stops = np.concatenate([[0], ends[:-size]]), ends[size - 1 :] - 1
-    hashes = np.empty(len(starts), np.uint64)
-    for low in range(0, len(starts), HASH_AT_ONCE):
-        part = slice(low, low + HASH_AT_ONCE)
-        hashes[part] = [digest(joined[a:b], SEED) for a, b in zip(starts[part].tolist(), stops[part].tolist(), strict=True)]
-    return np.unique(hashes.view(np.int64))
+    found = np.unique(shingle_hashes(text, size).view(np.int64))
+    return found if len(found) else np.zeros(1, np.int64)
 
 
-def batch(rows: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=names)
-
-
-def matrix(found: pa.RecordBatch) -> np.ndarray:
-    return np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in found.columns])
+def keys_of(found: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set, each of its least shingles under two orders."""
+    least = np.array([remixed(found.view(np.uint64) ^ o).min() for o in ORDERS])
+    return remixed(remixed(least[::2] ^ ORDERS[::2]) ^ least[1::2]).view(np.int64)
 
 
 def bitmap(found: np.ndarray, longs: int = 0) -> np.ndarray:
@@ -75,20 +61,26 @@ def lists(found: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found)))
 
 
-def digested(size: int) -> Callable[[Rows], Iterator[pa.RecordBatch]]:
+MARKS = "d1 long, d2 long, n long, fp long, fp2 long, fixed array<long>, bits array<long>, keys array<long>"
+
+
+def marked(size: int) -> Callable[[Rows], Iterator[pa.RecordBatch]]:
+    """mapInArrow function: a digest of each text's shingle set, its size, SimHash, bitmaps and keys."""
+
     def run(batches: Rows) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            digests, sizes, maps, fixed = [], [], [], []
+            narrow, fixed, bits, keys = [], [], [], []
             for text in block["text"].to_pylist():
                 found = shingles(text, size)
-                digests.append(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), "<i8"))
-                sizes.append(len(found))
-                maps.append(bitmap(found))
+                hashes = found.view(np.uint64)
+                prints = np.array([majority(hashes), majority(remixed(hashes))], np.uint64).view(np.int64)
+                narrow.append([*np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), "<i8"), len(found), *prints])
                 fixed.append(bitmap(found, FIXED))
-            pairs = np.stack(digests)
-            columns = {"d1": pa.array(pairs[:, 0]), "d2": pa.array(pairs[:, 1]), "n": pa.array(sizes, pa.int64()), "bits": lists(maps), "fixed": lists(fixed)}
+                bits.append(bitmap(found))
+                keys.append(keys_of(found))
+            columns = [*(pa.array(c) for c in np.array(narrow, np.int64).T), lists(fixed), lists(bits), lists(keys)]
             out = block.drop_columns("text")
-            for name, column in columns.items():
+            for name, column in zip(("d1", "d2", "n", "fp", "fp2", "fixed", "bits", "keys"), columns, strict=True):
                 out = out.append_column(name, column)
             yield from out.to_batches()
 
@@ -99,172 +91,87 @@ def sets_of(size: int) -> Callable[[Rows], Iterator[pa.RecordBatch]]:
     def run(batches: Rows) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             found = lists([shingles(t, size) for t in block["text"].to_pylist()])
-            yield from pa.table({"row": block["row"], "hashes": found}).to_batches()
+            yield from block.drop_columns("text").append_column("hashes", found).to_batches()
 
     return run
 
 
-def prefixed(size: int, often: np.ndarray, times: np.ndarray) -> Callable[[Rows], Iterator[pa.RecordBatch]]:
-    """mapInArrow function: key, node, size and place of the shingles of each text's prefix; often is sorted."""
+def candidates(budget: int) -> Callable[[Rows], Iterator[pa.RecordBatch]]:
+    """mapInArrow function over (key, c1, c2, side, node, label, size, fp, fp2, fixed bitmap): pairs (a > b) that may link.
+
+    They come by the trie join, at most budget bits apart, with different labels, and have sizes and bitmaps that allow a link.
+    """
 
     def run(batches: Rows) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            out = [np.zeros((4, 0), np.int64)]
-            for row, text in zip(block["row"].to_pylist(), block["text"].to_pylist(), strict=True):
-                found = shingles(text, size)
-                n = len(found)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, found), len(often) - 1)
-                    order = np.argsort(np.where(often[at] == found, times[at], 0), kind="stable")
-                    found = found[order]
-                length = n - -(-PART * n // WHOLE) + 1
-                out.append(np.stack([found[:length], np.full(length, row), np.full(length, n), np.arange(length)]))
-            yield batch(np.concatenate(out, axis=1), ["key", "node", "size", "place"])
+        for rows in whole_groups(batches):
+            words = rows[7:9].view(np.uint64)
+            order = np.lexsort((words[1], words[0], rows[3], rows[2], rows[1], rows[0]))
+            rows, words = rows[:, order], words[:, order]
+            node, label, size, maps = rows[4], rows[5], rows[6], rows[9:].view(np.uint64)
+            for i, j in trie_pairs(words, roots(rows), budget, label):
+                n, m = size[i], size[j]
+                ok = WHOLE * np.minimum(n, m) >= PART * np.maximum(n, m)
+                i, j = i[ok], j[ok]
+                apart = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in maps)
+                ok = (PART + WHOLE) * apart <= (WHOLE - PART) * (size[i] + size[j])
+                x, y = node[i[ok]], node[j[ok]]
+                if len(x):
+                    a, b = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
-def shared(batches: Rows) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key (their first column), those whose key another row has."""
-    held, twice, names = None, False, []
-    for found in batches:
-        if not found.num_rows:
-            continue
-        names = found.schema.names
-        rows = matrix(found) if held is None else np.concatenate([held, matrix(found)], axis=1)
-        same = np.diff(rows[0]) == 0
-        again = np.append(same, False) | np.insert(same, 0, twice)
-        yield batch(rows[:, :-1][:, again[:-1]], names)
-        held, twice = rows[:, -1:], bool(again[-1])
-    if twice:
-        yield batch(held, names)
-
-
-def whole(batches: Rows) -> Iterator[np.ndarray]:
-    """Rows sorted by key (key, label, node, size, place and maybe FIXED longs) again, cut where the key changes only."""
-    held, parts = None, []
-    for found in batches:
-        held = np.zeros((found.num_columns, 0), np.int64) if held is None else held
-        parts.append(matrix(found))
-        if sum(x.shape[1] for x in parts) >= ROWS_AT_ONCE:
-            held, parts = np.concatenate([held, *parts], axis=1), []
-            other = np.flatnonzero(held[0] != held[0, -1])
-            cut = other[-1] + 1 if len(other) else 0
-            if cut:
-                yield held[:, :cut]
-                held = held[:, cut:]
-    if held is not None and (held := np.concatenate([held, *parts], axis=1)).shape[1]:
-        yield held
-
-
-def possible(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    """Distinct nodes (a > b) of the rows i and j, of one key, that sizes and places allow to link.
-
-    What two sets share begins at a first shared shingle, by which they meet: no more is left than what follows there.
-    """
-    _, label, node, size, place = rows[:5]
-    n, m = size[i], size[j]
-    ok = (WHOLE * np.minimum(n, m) >= PART * np.maximum(n, m)) & (label[i] != label[j])
-    ok &= (PART + WHOLE) * np.minimum(n - place[i], m - place[j]) >= PART * (n + m)
-    i, j = i[ok], j[ok]
-    ok = (PART + WHOLE) * np.bitwise_count((rows[5:, i] ^ rows[5:, j]).view(np.uint64)).sum(axis=0, dtype=np.int64) <= (WHOLE - PART) * (size[i] + size[j])
-    x, y = node[i[ok]], node[j[ok]]
-    return batch(np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1), ["a", "b"])
-
-
-def few_pairs(batches: Rows) -> Iterator[pa.RecordBatch]:
-    """Pairs of each row with one row of its key for each salt."""
-    for rows in whole(batches):
-        for salt in SALTS:
-            order = np.lexsort((remixed(rows[2].view(np.uint64) ^ np.uint64(salt)), rows[0]))
-            starts = np.flatnonzero(np.diff(rows[0][order], prepend=~rows[0][order[0]]) != 0)
-            yield possible(rows, np.repeat(order[starts], np.diff(np.append(starts, len(order)))), order)
-
-
-def next_run(index: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Where the run that each index is in ends; new tells of each but the first whether it begins a run."""
-    ends = np.append(np.flatnonzero(new) + 1, len(index))
-    return ends[np.searchsorted(ends, index, "right")]
-
-
-def all_pairs(batches: Rows) -> Iterator[pa.RecordBatch]:
-    """All pairs of rows of a key whose labels differ."""
-    for rows in whole(batches):
-        rows = rows[:, np.lexsort((rows[1], rows[0]))]
-        new_key = np.diff(rows[0]) != 0
-        index = np.arange(rows.shape[1])
-        first, end = (next_run(index, new) for new in (new_key | (np.diff(rows[1]) != 0), new_key))
-        total = np.concatenate([[0], np.cumsum(end - first)])
-        for low in range(0, int(total[-1]), ROWS_AT_ONCE):
-            cell = np.arange(low, min(low + ROWS_AT_ONCE, int(total[-1])))
-            i = np.searchsorted(total, cell, "right") - 1
-            yield possible(rows, i, first[i] + cell - total[i])
-
-
-def chosen(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """texts with (left_semi) or without (left_anti) these rows."""
-    rows = durable(rows)
-    return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "row", how)
-
-
-def frequent(texts: DataFrame, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a sample of the n texts, sorted, and in how many of its texts they are."""
-    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(max(1, min(SPARSE, n // SAMPLE)))) == 0).mapInArrow(sets_of(size), "row long, hashes array<long>")
-    counts = sample.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
-    found = counts.orderBy(F.desc("n"), "h").limit(MOST).toPandas().sort_values("h")
-    return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-
-
 def folded(bits: Column, longs: Column) -> Column:
     """A bitmap of so many longs from one of as many or of twice as many, in whose halves a shingle flips the same place."""
     half = F.zip_with(F.slice(bits, F.lit(1), longs), F.slice(bits, longs + 1, longs), lambda a, b: a.bitwiseXOR(b))
     return F.when(F.size(bits) > longs, half).otherwise(bits)
 
 
-def linked(pairs: DataFrame, maps: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The pairs (a > b) whose sets have the similarity wanted; maps has the size and bitmap (row, n, bits) of each set."""
-    both = pairs.distinct().join(maps.drop("fixed").toDF("a", "n", "x"), "a").join(maps.drop("fixed").toDF("b", "m", "y"), "b")
+def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The pairs (a > b) of nodes whose sets have the similarity wanted, by their bitmaps and then by their sets."""
+    maps = nodes.select("node", "n", "bits")
+    both = pairs.distinct().join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b")
     longs = F.least(F.size("x"), F.size("y"))
     apart = F.aggregate(F.zip_with(folded(F.col("x"), longs), folded(F.col("y"), longs), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     pairs = durable(both.where((PART + WHOLE) * apart <= (WHOLE - PART) * (F.col("n") + F.col("m"))).select("a", "b"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = durable(chosen(texts, needed, "left_semi").mapInArrow(sets_of(size), "row long, hashes array<long>"))
+    needed = durable(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("low.row").alias("row")))
+    sets = durable(texts.join(beside(needed), "row").select("node", "text").mapInArrow(sets_of(size), "node long, hashes array<long>"))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return durable(both.where((PART + WHOLE) * F.size(F.array_intersect("x", "y")) >= PART * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
-def links(texts: DataFrame, maps: DataFrame, size: int, n: int) -> DataFrame:
-    """Edges (a > b) between rows of the n texts (row, text), whose sets differ, that with others span each component."""
-    meeting = texts.mapInArrow(prefixed(size, *frequent(texts, size, n)), "key long, node long, size long, place long")
-    meeting = durable(meeting.repartition("key").sortWithinPartitions("key").mapInArrow(shared, meeting.schema))
+def links(texts: DataFrame, nodes: DataFrame, size: int, limit: int = LIMIT) -> DataFrame:
+    """Edges (a > b) between nodes (sets) that with others span each component; texts have the row of each."""
+    keys = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    pivots = [F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("h"), "node")).getField("node") for s in SALTS]
+    shared = durable(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*pivots)).alias("pivots")).where("n > 1"))
+    prints = nodes.select("node", F.col("n").alias("size"), "fp", "fp2", *[F.col("fixed")[i].alias(f"w{i}") for i in range(FIXED)])
+    meeting = durable(keys.join(beside(shared), "key").join(prints, "node"))
+    columns = ["key", "c1", "c2", "side", "node", "label", "size", "fp", "fp2", *(f"w{i}" for i in range(FIXED))]
 
-    def joined(labelled: DataFrame, by: Callable[[Rows], Iterator[pa.RecordBatch]], *more: Column) -> DataFrame:
-        rows = labelled.select("key", "label", "node", "size", "place", *more).repartition("key").sortWithinPartitions("key")
-        return linked(rows.mapInArrow(by, "a long, b long"), maps, texts, size)
+    def joined(rows: DataFrame) -> DataFrame:
+        return linked(tasks(dealt(rows, limit).select(*columns)).mapInArrow(candidates(BUDGET), "a long, b long"), nodes, texts, size)
 
-    first = joined(meeting.withColumn("label", F.col("node")), few_pairs)
-    roots = components(first).withColumnRenamed("node", "known")
-    labelled = meeting.join(roots, F.col("node") == F.col("known"), "left").withColumn("label", F.coalesce("root", "node"))
-    labelled = labelled.join(maps.select(F.col("row").alias("mapped"), "fixed"), F.col("node") == F.col("mapped"))
-    return first.union(joined(labelled, all_pairs, *[F.col("fixed")[i].alias(f"w{i}") for i in range(FIXED)]))
+    first = F.array_contains("pivots", F.col("node"))
+    few = joined(meeting.withColumns({"label": F.col("node"), "first": first, "r": F.size("pivots").cast("long")}))
+    known = durable(components(few)).withColumnRenamed("node", "known")
+    labelled = meeting.drop("n", "pivots").join(beside(known), F.col("node") == F.col("known"), "left").withColumn("label", F.coalesce("root", "node"))
+    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
+    split = durable(counts.where("n > top.n"))
+    rest = labelled.join(beside(split), "key").withColumns({"first": F.col("label") != F.col("top.label"), "r": F.col("n") - F.col("top.n")})
+    return few.union(joined(rest))
 
 
-def near_groups(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row (a number of the row in its scan), component_id and kept of every row of df.
+def near_groups(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", key: str | None = None, limit: int = LIMIT) -> DataFrame:
+    """doc_id, row (the row's key), component_id and kept of every row of df; see simhash.grouped.
 
-    component_id is the smallest id of the rows linked to a row, directly or through others, itself included; null ids
-    count only if a component has no other. Null texts are empty texts. Of each component one row is kept: that of the
-    smallest id, null ids last, and of repeated ids the first read. No rows give no rows.
+    Null texts are empty texts. No rows give no rows. The key's column may be given where df has one from row_keyed.
     """
-    keyed = keyed_texts(df, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    marks = durable(keyed.mapInArrow(digested(size), f"doc_id {kind}, row long, d1 long, d2 long, n long, bits array<long>, fixed array<long>"))
-    prints, maps = marks.select("doc_id", "row", "d1", "d2"), marks.select("row", "n", "bits", "fixed")
-    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("low")
-    nodes = durable(prints.groupBy("d1", "d2").agg(lowest).withColumn("node", F.col("low.row")))
-    again = prints.join(nodes, ["d1", "d2"]).where("row <> node").select("row")
-    roots = components(links(chosen(keyed.select("row", "text"), again, "left_anti"), maps, size, nodes.count())).withColumnRenamed("node", "linked")
-    member = nodes.join(roots, F.col("node") == F.col("linked"), "left").select("d1", "d2", "low", F.coalesce("root", "node").alias("root"))
-    least = member.groupBy("root").agg(F.min("low").alias("first"))
-    of = durable(member.join(least, "root").select("d1", "d2", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept_row")))
-    return prints.join(of, ["d1", "d2"]).select("doc_id", "row", "component_id", (F.col("row") == F.col("kept_row")).alias("kept"))
+    if key is None:
+        df, key = row_keyed(df)
+    texts = keyed_texts(df, id_col, text_col, F.col(f"`{key}`").alias("row"))
+    marks = durable(texts.mapInArrow(marked(size), schema_with(texts, MARKS)))
+    one = F.any_value(F.struct("n", "fp", "fp2", "fixed", "bits", "keys")).alias("one")
+    nodes = durable(marks.groupBy("d1", "d2").agg(*lowest(), one).select("d1", "d2", "low", "copies", "one.*")).withColumn("node", F.monotonically_increasing_id())
+    return grouped(marks.select("doc_id", "row", "d1", "d2"), nodes.select("d1", "d2", "low", "copies", "node"), ["d1", "d2"], links(texts.select("row", "text"), nodes, size, limit)).drop("d1", "d2")

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from recordloom.llm import exact_dedup, queries, sharding, topk
+from recordloom.llm import common, exact_dedup, queries, sharding, topk
 from tests.llm import cases
 
 
@@ -77,7 +77,7 @@ def brute_groups(rows):
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_groups_of_hard_rows(spark, broadcast, monkeypatch):
     if not broadcast:
-        monkeypatch.setattr(exact_dedup, "BROADCAST_HASHES", 0)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     rows = cases.documents(spark).collect()
     got = exact_dedup.groups(cases.documents(spark)).collect()
     want = {hashlib.sha256(t.encode()).hexdigest(): v for t, v in brute_groups(rows).items()}

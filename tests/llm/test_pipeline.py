@@ -1,7 +1,10 @@
+import os
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
-from recordloom.llm import packing
+from recordloom.llm import common, exact_dedup, packing
 from tests.llm import cases
 
 
@@ -43,3 +46,47 @@ def test_run_is_its_stages(spark, tiny, tmp_path):
     got = corpus_pipeline.run(spark, tiny).collect()
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in got) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in last)
     assert packing.CAPACITY >= max(r.offset + r.length for r in got)
+
+
+def test_rows_are_dropped_by_what_they_are(spark, tmp_path):
+    """Other splits between a stage's scans, and columns with the names that stages use, change nothing."""
+    docs = cases.hot(spark, 3000).selectExpr("*", "'mine' AS row", "1 AS lang_pred", "2 AS score", "3 AS __lang", "4 AS __row")
+    docs = docs.repartition(7)
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    keyed, key = common.row_keyed(docs)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        dropped = common.durable(exact_dedup.groups(keyed, key=key).where("NOT kept").select("row"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        left = common.without_rows(keyed, key, dropped)
+        assert left.columns == docs.columns
+        rows = left.collect()
+        assert len(rows) == 1001 and len({r.text for r in rows}) == 1001 and {r.row for r in rows} == {"mine"}
+        assert 2999 in {r.doc_id for r in rows}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    language = corpus_pipeline.language_id(spark, docs, None)
+    assert language.columns == docs.columns and {(r.row, r.lang_pred, r.score) for r in language.collect()} == {("mine", 1, 2)}
+
+
+def test_tables_between_stages_go(spark, tiny):
+    folder = common.shared_folder(spark).removeprefix("file:")
+    known = set(os.listdir(folder))
+    got = corpus_pipeline.run(spark, tiny)
+    made = [f for f in set(os.listdir(folder)) - known if f.startswith("pipeline-")]
+    assert [os.listdir(f"{folder}/{f}") for f in made] == [["best_fit_packing"]] and got.count() > 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_folder(type("Session", (), {"sparkContext": Context()}))

@@ -136,7 +136,9 @@ def test_trie_join_finds_every_link(n, flips):
         codes = codes ^ (np.uint64(1) << rng.integers(0, 64, len(codes)).astype(np.uint64))
     codes = np.unique(codes)
     got, want = np.arange(len(codes)), np.arange(len(codes))
-    simhash.trie_links(codes, np.array([0]), 4, got)
+    whole = np.array([[0], [len(codes)], [0], [len(codes)]])
+    for i, j in simhash.trie_pairs(codes[None], whole, 4, got):
+        simhash.unite(got, i, j)
     simhash.unite(want, *np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes) <= 4, 1)))
     assert np.array_equal(got, want)
 
@@ -150,34 +152,32 @@ def test_masks_miss_no_pair(n, budget):
         assert any(d & m == 0 for m in wanted)
 
 
-@pytest.mark.parametrize("group", [1, 1 << 12])
-def test_wide_links_against_all_pairs(spark, group, monkeypatch):
-    monkeypatch.setattr(simhash, "GROUP", group)
+@pytest.mark.parametrize("limit", [simhash.LIMIT, 30])
+def test_links_of_a_crowded_prefix(spark, limit):
+    """More fingerprints share prefixes than a task may join: they are dealt into chunks, and no link is lost."""
     rng = np.random.default_rng(9)
-    first, second = (np.repeat(rng.integers(0, 2**63, 12, dtype=np.uint64), 25) for _ in range(2))
-    for _ in range(6):
-        first, second = (x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)) for x in (first, second))
-    rows = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(first.view(np.int64), second.view(np.int64), strict=True))]
-    nodes = spark.createDataFrame(rows, "node long, fp long, fp2 long").repartition(3)
-    got, want = np.arange(len(rows)), np.arange(len(rows))
-    for r in simhash.components(simhash.links(nodes, 12, wide=True)).collect():
+    codes = np.repeat(rng.integers(0, 2**20, 30, dtype=np.uint64), 20)
+    for _ in range(4):
+        codes = codes ^ (np.uint64(1) << rng.integers(0, 40, len(codes)).astype(np.uint64))
+    codes = np.unique(codes)
+    nodes = spark.createDataFrame(list(enumerate(codes.view(np.int64).tolist())), "node long, fp long").repartition(3)
+    got, want = np.arange(len(codes)), np.arange(len(codes))
+    for r in simhash.components(simhash.links(nodes, 4, limit)).collect():
         got[r.node] = r.root
-    apart = np.bitwise_count(first[:, None] ^ first).astype(int) + np.bitwise_count(second[:, None] ^ second)
-    simhash.unite(want, *np.nonzero(np.triu(apart <= 12, 1)))
-    assert np.array_equal(got, want) and 12 < len(set(want.tolist())) < len(rows)
-
-
-def test_near_copies_are_caught_and_others_kept(spark):
-    r = random.Random(8)
-    words = ["".join(r.choice("aeioustrnl") for _ in range(r.randrange(3, 9))) for _ in range(3000)]
-    rows = []
-    for i in range(60):
-        text = [r.choice(words) for _ in range(600)]
-        near = list(text)
-        near[r.randrange(600)] = "changed"
-        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(near))]
-    found = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 19, wide=True).collect()
-    assert {r.doc_id: r.component_id for r in found} == {i: i - i % 2 for i in range(120)}
+    simhash.unite(want, *np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes) <= 4, 1)))
+    assert np.array_equal(got, want) and 12 < len(set(want.tolist())) < len(codes)
+
+
+def test_pairs_of_wide_codes():
+    """Two words a code, first halves equal, a range with itself and with a later one, compared in slices."""
+    rng = np.random.default_rng(3)
+    second = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    words = np.stack([np.full(900, 7, np.uint64), np.concatenate([np.sort(second[:600]), np.sort(second[600:])])])
+    got = set()
+    for i, j in simhash.trie_pairs(words, np.array([[0, 0], [600, 600], [0, 600], [600, 900]]), 24, np.arange(900) // 2):
+        got |= set(zip(i.tolist(), j.tolist(), strict=True))
+    apart = np.bitwise_count(words[1][:, None] ^ words[1]) <= 24
+    assert got == {(i, j) for i, j in zip(*np.nonzero(np.triu(apart, 1)), strict=True) if i < 600 and i // 2 != j // 2} and got
 
 
 def test_components_of_a_path_and_a_star(spark):
