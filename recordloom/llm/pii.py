@@ -2,40 +2,44 @@
 
 Base patterns (email, ip, card, phone) find spans outright. Beyond them, looser candidates are judged: labelling
 functions of three sorts (patterns and checksums, gazetteers, context words) vote for or against each candidate or
-abstain; expectation-maximisation over the counts of vote patterns estimates how reliable each function is, without
-labelled data; and the posteriors train a logistic span classifier on features of the candidate and its surroundings,
-whose positives are added.
+abstain; expectation-maximisation over the counts of vote patterns estimates, without labelled data, the share of
+personal data among the candidates of a kind and how often each function is right; and the posteriors train a logistic span classifier on features of the candidate and its surroundings, whose
+positives are added. Nothing but the estimates says how much a vote counts.
 
 One pass over all texts gathers candidates' votes and features, kept as narrow rows. Vote patterns are counted over
 all of them (a count for each pattern: at most 3 to the number of functions, for each kind); the classifier is fitted
-on a bounded sample of TRAIN_SPANS candidates. A second pass over all texts applies it. Nothing of a text is shuffled.
+on a bounded sample of TRAIN_SPANS distinct candidates, each weighing as much as it is frequent. A second pass over all
+texts applies it. Nothing of a text is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import blocks, durable, keyed_texts, prepared, table
+from recordloom.llm.common import blocks, durable, keyed_texts, prepared, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the method adds, after the base kinds in the order of equal starts.
-ALL_KINDS = (*KINDS, "name", "number")
+ALL_KINDS = (*KINDS, "account", "name", "number")
 TRAIN_SPANS = 20_000
 FEATURES = 1 << 14
 THRESHOLD = 0.5
-PRIOR = 0.3
-#: How many times each prior example counts.
-PRIOR_WEIGHT = 20
 #: Rounds of expectation-maximisation and of gradient descent.
-EM_ROUNDS, FIT_ROUNDS = 50, 600
+EM_ROUNDS, FIT_ROUNDS = 100, 300
+#: Votes that smooth a function's rates.
+SMOOTHING = 4
+#: The weight of abstaining (functions see much alike, so silence of several is one fact), and the largest share of personal data assumed.
+QUIET, MOST = 0.5, 0.9
 
 Span = tuple[int, int]
 
@@ -46,16 +50,32 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-# Looser candidates: groups of seven or more digits, anything around an at sign, two capitalised words.
+# Looser candidates: groups of seven or more digits, account numbers, anything around an at sign, addresses spelt out, two or three capitalised words.
 DIGITS = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[ ().\-/]{0,2}[0-9]){6,}(?![0-9A-Za-z])")
+ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 AROUND_AT = re.compile(r"[^\s@<>\"',;]{1,64}\Z"), re.compile(r"[^\s@<>\"',;]{1,255}")
-CAPITALISED = re.compile(r"\b[A-Z][a-z]{1,20} [A-Z][a-z]{1,20}\b")
+SPELT_AT = re.compile(r" ?[\[({] ?at ?[\])}] ?| at ", re.IGNORECASE)
+LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
+SPELT_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
+SPELT_DOT = re.compile(r" ?[\[({] ?dot ?[\])}] ?| dot ", re.IGNORECASE)
+CAPITALISED = re.compile(r"\b[A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20}){1,2}\b")
 
 # Gazetteers and context words, general knowledge in the languages at hand.
-GIVEN_NAMES = frozenset("Alice Andrea Anna Antonio Barbara Carlos Carmen Charles Christian David Elena Elizabeth Emma Francisco François George Hans Isabel James Jan Javier Jean Jennifer Jessica John José Juan Julia Karen Karl Klaus Laura Linda Lucía Luis Manuel María Marie Mary Michael Miguel Monika Nancy Nicolas Pablo Patricia Paul Peter Philippe Pierre Robert Sarah Sofia Stefan Susan Susanne Thomas Ursula William Wolfgang".split())
-PROVIDERS = frozenset("gmail hotmail outlook yahoo icloud proton protonmail gmx web aol mail".split())
-CONTEXT = frozenset("call card cell contact correo courriel credit email fax iban kontakt kreditkarte llamar mail mobile mobil móvil name nom nombre passport phone rufen ssn tarjeta tel telefon teléfono téléphone carte visa mastercard".split())
-AGAINST = frozenset("article chapter edition figure isbn issn kapitel no number page pages seite section serial table version vol volume year".split())
+GIVEN_NAMES = frozenset("""Aaron Adam Adrian Agnes Alan Albert Alejandro Alexander Alice Amanda Amy Andrea Andreas Andrew Angela Anita Anna Anne Anthony Antoine Antonio
+ Barbara Beatriz Benjamin Bernard Bernd Betty Brenda Brian Bruno Camille Carla Carlos Carmen Carol Caroline Catherine Cecilia Charles Charlotte Christian Christina Christine Claire Clara Claudia
+ Cristina Daniel Daniela David Deborah Dennis Diana Diego Dieter Dominique Donald Donna Dorothy Eduardo Edward Elena Elizabeth Emily Emma Enrique Eric Erika Esther Eva Evelyn Felix Fernando Florian
+ Francisco Frank Gabriel Gabriela George Gerard Gloria Grace Greta Hannah Hans Heather Heidi Helen Helga Henri Henry Ingrid Irene Isabel Isabelle Jack Jacob Jacques James Jan Jane Janet Javier Jean
+ Jennifer Jessica Joan Johannes John Jonathan Jorge Jose Joseph Juan Julia Julie Karen Karl Katharina Kathleen Kevin Klaus Laura Linda Lisa Lucas Lucia Luis Luise Manuel Marc Marcel Marco Margaret Maria
+ Marie Mark Marta Martin Mary Matthew Max Melissa Michael Michel Michelle Miguel Monika Nancy Natalie Nicolas Nicole Olivier Oscar Pablo Patricia Patrick Paul Paula Pedro Peter Philippe Pierre Rafael
+ Rachel Rebecca Renate Richard Robert Roberto Rosa Ruth Samuel Sandra Sarah Sebastian Silvia Simon Sofia Sophie Stefan Stephanie Steven Susan Susanne Sylvie Teresa Thomas Ursula Valerie Victor Victoria
+ Vincent Walter Werner William Wolfgang Yvonne""".split())
+PROVIDERS = frozenset("aol comcast fastmail free freenet gmail gmx googlemail hotmail hushmail icloud laposte libero live mac mail mailbox msn orange outlook posteo proton protonmail qq rediffmail sfr tuta verizon wanadoo web yahoo yandex ymail zoho".split())
+ENDINGS = frozenset("ar at au be biz br ca ch cl cn co com cz de dk edu es eu fi fr gov gr hu ie in info int io it jp kr me mil mx net nl no nz org pe pl pt ro ru se tr ua uk us za".split())
+TITLES = frozenset("dr doctor frau herr lady lord madame miss monsieur mr mrs ms prof professor señor señora sir".split())
+CONTEXT = frozenset("account call card cell contact correo courriel credit dear email fax iban kontakt konto kreditkarte llamar mail mailto mobile mobil móvil name named nom nombre passport phone rufen signed ssn tarjeta tel telefon telephone teléfono téléphone carte visa whatsapp write".split())
+AGAINST = frozenset("article chapter edition figure invoice isbn issn item kapitel model number order page pages part price rechnung section seite serial sku size table total version vol volume year".split())
+PLACES = frozenset("Academy America Apache Avenue Bank Bay Berlin Building Center City Club College Company Corporation County East England Europe Foundation Friday Germany Group Hill House Institute Island Lake License London Madrid Monday Mountain Museum National New North Paris Park River Road Royal San Saturday School South Spain Square State States Station Street Sunday The Thursday Tuesday Union United University Version Wednesday West World York".split())
+TITLE = re.compile("(?:" + "|".join(sorted(TITLES)) + ") ", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -88,7 +108,7 @@ def emails(text: str) -> list[Span]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base patterns by start, then kind as listed."""
     found = [("email", *s) for s in emails(text)]
-    found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := only_digits(m[0])) <= 19 and luhn(d):
             found.append(("card", m.start(), m.end()))
@@ -96,18 +116,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], ALL_KINDS.index(s[0])))
 
 
-def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Looser spans of kinds email, name and number that might be personal data."""
+def iban(text: str) -> bool:
+    code = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
+def spelt_emails(text: str) -> list[Span]:
+    """Addresses whose at sign, and maybe dots, are written as words."""
     found = []
+    for m in SPELT_AT.finditer(text):
+        left, right = LOCAL_END.search(text[max(0, m.start() - 64) : m.start()]), SPELT_HOST.match(text, m.end())
+        if left and right:
+            found.append((m.start() - len(left[0]), right.end()))
+    return found
+
+
+def candidates(text: str) -> list[tuple[str, int, int]]:
+    """Looser spans of kinds email, account, name and number that might be personal data."""
+    found = [("email", *s) for s in spelt_emails(text)]
     at = text.find("@")
     while at >= 0:
         left, right = AROUND_AT[0].search(text[max(0, at - 64) : at]), AROUND_AT[1].match(text, at + 1)
         if left and right:
             found.append(("email", at - len(left[0]), right.end()))
         at = text.find("@", at + 1)
-    found += [("number", m.start(), m.end()) for m in DIGITS.finditer(text)]
-    found += [("name", m.start(), m.end()) for m in CAPITALISED.finditer(text) if m[0].split(" ")[0] in GIVEN_NAMES or near_words(text, m.start(), m.end())[0] & CONTEXT]
-    return sorted(found, key=lambda s: (s[1], ALL_KINDS.index(s[0])))
+    found += [(kind, m.start(), m.end()) for kind, pattern in (("number", DIGITS), ("account", ACCOUNT)) for m in pattern.finditer(text)]
+    for m in CAPITALISED.finditer(text):
+        titled = TITLE.match(m[0])
+        if not titled or " " in m[0][titled.end() :]:
+            found.append(("name", m.start() + (titled.end() if titled else 0), m.end()))
+    return sorted(found, key=lambda s: (s[1], ALL_KINDS.index(s[0]), s[2]))
 
 
 def near_words(text: str, start: int, end: int) -> tuple[set[str], set[str]]:
@@ -115,67 +153,87 @@ def near_words(text: str, start: int, end: int) -> tuple[set[str], set[str]]:
     return {w.lower() for w in WORD.findall(text[max(0, start - 30) : start])}, {w.lower() for w in WORD.findall(text[end : end + 30])}
 
 
-FUNCTIONS = ("base pattern", "checksum", "plausible shape", "gazetteer", "context", "counter-context")
+FUNCTIONS = ("shape", "checksum", "gazetteer", "counter-gazetteer", "words before", "words after", "counter-words")
+GROUPED = re.compile(r"\+?\(?[0-9]{1,4}\)?(?:[ ().\-/]{1,2}[0-9]{2,5}){1,5}")
+DATED = re.compile(r"(?:19|20)[0-9]{2}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}.*|[0-9]{1,2}[-/. ][0-9]{1,2}[-/. ](?:19|20)[0-9]{2}.*|97[89][- ]?[0-9].*", re.DOTALL)
 
 
-def votes(text: str, kind: str, start: int, end: int, base: list[tuple[str, int, int]]) -> str:
+def votes(text: str, kind: str, start: int, end: int) -> str:
     """A vote of each labelling function: + for personal data, - against, 0 none."""
-    span, digits = text[start:end], only_digits(text[start:end])
+    span = text[start:end]
     before, after = near_words(text, start, end)
-    is_base = any(s < end and start < e for _, s, e in base)
-    checksum = "0" if not 14 <= len(digits) <= 19 or kind != "number" else "+" if luhn(digits) else "-"
+    shape = checksum = place = against = "0"
+    doubted = bool(before & AGAINST)
     if kind == "number":
-        grouped = re.fullmatch(r"\+?\(?[0-9]{1,4}\)?(?:[ ().\-/]{1,2}[0-9]{2,5}){1,5}", span)
-        date = re.fullmatch(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}.*|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}", span)
-        shape = "-" if date or len(set(digits)) <= 2 else "+" if grouped and 9 <= len(digits) <= 15 else "0"
-        place = "0"
+        digits = only_digits(span)
+        checksum = "0" if not 13 <= len(digits) <= 19 else "+" if luhn(digits) else "-"
+        against = "-" if DATED.fullmatch(span) or len(set(digits)) <= 2 else "0"
+        shape = "+" if GROUPED.fullmatch(span) and 9 <= len(digits) <= 15 and against == "0" and not doubted else "0"
+        place = "+" if span[0] in "+(" else "0"
+    elif kind == "account":
+        checksum = "+" if iban(span) else "-"
+        shape = "+" if 15 <= len(span.replace(" ", "")) <= 34 else "-"
+        place = "+" if span[:2].lower() in ENDINGS else "-"
     elif kind == "email":
-        host = span.partition("@")[2]
-        shape = "+" if re.fullmatch(r"[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,12}\.?", host) else "-"
-        place = "+" if host.split(".")[0].lower() in PROVIDERS else "0"
+        spelt = SPELT_AT.search(span)
+        host = span[spelt.end() :] if spelt else span.partition("@")[2]
+        parts = SPELT_DOT.sub(".", host).rstrip(".").lower().split(".")
+        plain = bool(spelt) and spelt[0].lower() == " at " and not SPELT_DOT.search(host)
+        shape = "0" if plain else "+" if len(parts) > 1 and all(re.fullmatch(r"[\w-]+", p) for p in parts) and parts[-1].isalpha() else "-"
+        place = "+" if parts[0] in PROVIDERS or len(parts) > 1 and parts[-1] in ENDINGS else "0"
+        against = "-" if len(parts) < 2 or parts[-1] not in ENDINGS else "0"
     else:
-        shape, place = "0", "+" if span.split(" ")[0] in GIVEN_NAMES else "-"
-    return ("+" if is_base else "0") + checksum + shape + place + ("+" if before & CONTEXT else "0") + ("-" if before & AGAINST else "0")
+        words = span.split(" ")
+        shape = "+" if before & TITLES else "0"
+        against = "-" if PLACES & set(words) or len(set(words)) < len(words) else "0"
+        place = "+" if words[0] in GIVEN_NAMES and against == "0" else "0"
+    return shape + checksum + place + against + ("+" if before & CONTEXT else "0") + ("+" if after & CONTEXT else "0") + ("-" if doubted else "0")
 
 
 def bucket(name: str) -> int:
     return zlib.crc32(name.encode()) % FEATURES
 
 
-def vote_features(kind: str, cast: str) -> list[str]:
-    """What the labelling functions but the first, which the base has already settled, say."""
-    return [f"k={kind} {name}={vote}" for name, vote in zip(FUNCTIONS[1:], cast[1:], strict=True) if vote != "0"]
-
-
 def features(text: str, kind: str, start: int, end: int, cast: str) -> list[int]:
     """Hashed features of a candidate: its shape, its surroundings and its votes."""
     span = text[start:end]
     shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 6)}", span))[:40]
     before, after = near_words(text, start, end)
-    names = [f"k={kind}", f"k={kind} shape={shape}", f"k={kind} digits={min(20, len(only_digits(span)))}", f"k={kind} size={min(40, end - start) // 4}", f"k={kind} in={text[max(0, start - 1) : start]}", f"k={kind} out={text[end : end + 1]}"]
-    return sorted({bucket(n) for n in [*names, *vote_features(kind, cast), *(f"b={w}" for w in before), *(f"a={w}" for w in after)]})
+    names = [f"k={kind}", f"k={kind} shape={shape}", f"k={kind} digits={min(20, len(only_digits(span)))}", f"k={kind} in={text[max(0, start - 1) : start]}", f"k={kind} out={text[end : end + 1]}"]
+    names += [f"k={kind} {name}={vote}" for name, vote in zip(FUNCTIONS, cast, strict=True)]
+    return sorted({bucket(n) for n in [*names, *(f"b={w}" for w in before & (CONTEXT | AGAINST | TITLES)), *(f"a={w}" for w in after & (CONTEXT | AGAINST | TITLES))]})
 
 
-def reliabilities(patterns: dict[tuple[str, str], int], rounds: int = EM_ROUNDS) -> dict[tuple[str, str], float]:
-    """Posterior that a candidate is personal data, for each (kind, votes), by expectation-maximisation.
+def estimated(cast: np.ndarray, n: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
+    """Posteriors of vote patterns (rows of -1, 0, 1) that n candidates each have, the share of personal data, and rates.
 
-    Each function is right with a chance of its own whenever it votes, independently given the truth. Truth starts as
-    the majority of votes; in turn, a function's chance is the share of its votes that agree with the truth (smoothed
-    by two right votes and half a wrong one, and never under a coin's), and the truth follows from chances and votes.
-    The share of personal data is fixed at PRIOR: most candidates being base matches must not carry those that no
-    function speaks for.
+    rates[truth, function, vote + 1] is how often a function votes so on candidates that are personal data (1) or not
+    (0); votes are independent given the truth. Truth begins as the majority of votes, which is also the answer if there
+    are no rounds; then rates and share follow from truth, and truth from them. A function may turn out to say nothing,
+    but a vote for never counts against, nor one against for. The share is at most MOST.
     """
+    truth, seen = 1 / (1 + np.exp(-1.5 * cast.sum(axis=1) + 0.5)), np.stack([cast == v for v in (-1, 0, 1)], axis=2).astype(float)
+    lean = SMOOTHING * np.array([[0.3, 0.6, 0.1], [0.1, 0.6, 0.3]])
+    share, rates = 0.5, np.zeros((2, cast.shape[1], 3))
+    for _ in range(rounds):
+        share = min(MOST, float((truth @ n + 1) / (n.sum() + 2)))
+        counts = np.stack([np.einsum("p,pfv->fv", w * n, seen) for w in (1 - truth, truth)]) + lean[:, None, :]
+        rates = counts / counts.sum(axis=2, keepdims=True)
+        weight = np.log(rates[1] / rates[0])
+        weight[:, 0], weight[:, 2] = np.minimum(weight[:, 0], 0), np.maximum(weight[:, 2], 0)
+        weight[:, 1] *= QUIET
+        truth = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + np.einsum("pfv,fv->p", seen, weight), -30, 30)))
+    return truth, share, rates
+
+
+def posteriors(patterns: dict[tuple[str, str], int], rounds: int = EM_ROUNDS) -> dict[tuple[str, str], float]:
+    """The chance that a candidate is personal data, for each (kind, votes) with a vote, estimated for each kind apart."""
+    patterns = {p: n for p, n in patterns.items() if set(p[1]) != {"0"}}
     out: dict[tuple[str, str], float] = {}
     for kind in sorted({k for k, _ in patterns}):
         seen = sorted(v for k, v in patterns if k == kind)
-        n = np.array([patterns[kind, v] for v in seen], float)
         cast = np.array([["-0+".index(c) - 1 for c in v] for v in seen])
-        total = cast.sum(axis=1)
-        truth = np.where(total > 0, 0.9, np.where(total < 0, 0.1, PRIOR))
-        for _ in range(rounds):
-            agree = np.where(cast > 0, truth[:, None], np.where(cast < 0, 1 - truth[:, None], 0))
-            chance = np.clip(((agree * n[:, None]).sum(axis=0) + 2) / ((np.abs(cast) * n[:, None]).sum(axis=0) + 2.5), 0.5, 0.99)
-            truth = 1 / (1 + np.exp(-(np.log(PRIOR / (1 - PRIOR)) + cast @ np.log(chance / (1 - chance)))))
+        truth, _, _ = estimated(cast, np.array([patterns[kind, v] for v in seen], float), rounds)
         out |= {(kind, v): float(t) for v, t in zip(seen, truth, strict=True)}
     return out
 
@@ -190,38 +248,36 @@ class Detector:
         return float(1 / (1 + np.exp(-np.clip(self.weights[features].sum() + self.weights[-1], -30, 30))))
 
     def spans(self, text: str, base: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
-        """Base spans and the candidates that the classifier accepts, which don't overlap them or each other."""
+        """Base spans and the candidates that the classifier accepts, which don't overlap them or each other.
+
+        A candidate is free of base spans if those that begin before its end don't reach beyond its start. What no
+        function speaks for is never added.
+        """
         base = base_spans(text) if base is None else base
-        out, taken = list(base), [(s, e) for _, s, e in base]
+        starts, reach = [s for _, s, _ in base], [0, *accumulate((e for _, _, e in base), max)]
+        out, free = list(base), 0
         for kind, s, e in candidates(text):
-            if all(e <= a or b <= s for a, b in taken) and self.chance(features(text, kind, s, e, votes(text, kind, s, e, base))) >= THRESHOLD:
+            if s < max(free, reach[bisect_left(starts, e)]) or "+" not in (cast := votes(text, kind, s, e)):
+                continue
+            if self.chance(features(text, kind, s, e, cast)) >= THRESHOLD:
                 out.append((kind, s, e))
-                taken.append((s, e))
+                free = e
         return sorted(out, key=lambda s: (s[1], ALL_KINDS.index(s[0]), s[2]))
 
 
-def prior_rows() -> list[tuple[list[int], float]]:
-    """Examples for what a sample may lack: a candidate that nothing speaks for, and each vote alone."""
-    out = []
-    for kind in ALL_KINDS:
-        plain = bucket(f"k={kind}")
-        out.append(([plain], 0.1))
-        for name in FUNCTIONS[1:]:
-            out += [([plain, bucket(f"k={kind} {name}={vote}")], chance) for vote, chance in (("+", 0.9), ("-", 0.02))]
-    return out * PRIOR_WEIGHT
-
-
-def fitted(rows: list[tuple[list[int], float]], rounds: int = FIT_ROUNDS) -> Detector:
-    """Logistic regression on soft labels by AdaGrad over the whole sample and the prior examples."""
+def fitted(rows: list[tuple[list[int], float, int]], rounds: int = FIT_ROUNDS) -> Detector:
+    """Logistic regression on soft labels by AdaGrad over rows of features, label and weight. Without rows, nothing is accepted."""
     weights = np.zeros(FEATURES + 1)
-    rows = [*rows, *prior_rows()]
-    sizes = np.array([len(f) + 1 for f, _ in rows])
-    flat = np.concatenate([np.array([*f, FEATURES]) for f, _ in rows])
-    row, y = np.repeat(np.arange(len(rows)), sizes), np.array([t for _, t in rows])
+    if not rows:
+        weights[-1] = -30
+        return Detector(weights)
+    sizes = np.array([len(f) + 1 for f, _, _ in rows])
+    flat = np.concatenate([np.array([*f, FEATURES]) for f, _, _ in rows])
+    row, y, n = np.repeat(np.arange(len(rows)), sizes), np.array([t for _, t, _ in rows]), np.array([w for _, _, w in rows], float)
     squares = np.full(FEATURES + 1, 1e-8)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[flat], len(rows)), -30, 30)))
-        gradient = np.bincount(flat, (p - y)[row], FEATURES + 1) / len(rows) + 1e-5 * weights
+        gradient = np.bincount(flat, ((p - y) * n)[row], FEATURES + 1) / n.sum() + 1e-5 * weights
         squares += gradient**2
         weights -= 0.5 * gradient / np.sqrt(squares)
     return Detector(weights)
@@ -232,23 +288,21 @@ def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches):
         rows = []
         for text in block["text"].to_pylist():
-            if found := candidates(text):
-                base = base_spans(text)
-                cast = [votes(text, *c, base) for c in found]
-                rows += [(c[0], v, features(text, *c, v)) for c, v in zip(found, cast, strict=True)]
+            found = candidates(text)
+            rows += [(c[0], v, features(text, *c, v)) for c, v in zip(found, (votes(text, *c) for c in found), strict=True)]
         if rows:
             kind, vote, feature = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(vote), pa.array(feature, pa.list_(pa.int32()))], names=["kind", "votes", "features"])
 
 
-def train(df: DataFrame, text_col: str = "text", train_spans: int = TRAIN_SPANS) -> Detector:
-    """A detector from the candidates of all texts; the classifier sees at most train_spans of them, by a hash."""
-    texts = prepared(df.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")))
-    found = durable(texts.mapInArrow(judged, "kind string, votes string, features array<int>"))
-    patterns = {(r["kind"], r["votes"]): r["n"] for r in found.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()}
-    truth = reliabilities(patterns)
+def train(df: DataFrame, text_col: str = "text", train_spans: int = TRAIN_SPANS, rounds: int = EM_ROUNDS) -> Detector:
+    """A detector from the candidates of all texts; the classifier sees at most train_spans distinct ones, chosen by a hash, with their counts."""
+    texts = prepared(df.select(text_or_empty(text_col).alias("text")))
+    found = durable(texts.mapInArrow(judged, "kind string, votes string, features array<int>").groupBy("kind", "votes", "features").agg(F.count(F.lit(1)).alias("n")))
+    patterns = {(r["kind"], r["votes"]): r["n"] for r in found.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()}
+    truth = posteriors(patterns, rounds)
     sample = found.orderBy(F.xxhash64("kind", "votes", "features"), "kind", "votes", "features").limit(train_spans).collect()
-    return fitted([(r["features"], truth[r["kind"], r["votes"]]) for r in sample])
+    return fitted([(r["features"], truth[r["kind"], r["votes"]], r["n"]) for r in sample if (r["kind"], r["votes"]) in truth])
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:

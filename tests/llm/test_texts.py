@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import ceil
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 
 from recordloom.llm import bpe, langid, packing, pii, secrets, simhash, token_counts
 from recordloom.llm.common import table
-from tests.llm import cases
+from tests.llm import cases, planted
 
 
 def texts_by_id(df):
@@ -224,7 +225,7 @@ def brute_pii(text):
     for kind, pattern in KIND_PATTERNS.items():
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m[0])
-            if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(digits) <= 19 and pii.luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]:
+            if {"email": True, "ip": kind == "ip" and all(int(p.lstrip("0")[:4] or "0") <= 255 for p in m[0].split(".")), "card": 14 <= len(digits) <= 19 and pii.luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]:
                 out.append((kind, m.start(), m.end()))
     return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
 
@@ -254,17 +255,48 @@ def test_personal_data_of_hard_rows(spark):
     assert clean[12] == "mail <EMAIL> or call <PHONE>, card <CARD>, host <IP>" and clean[5] == known[5] and clean[0] is None
 
 
-def test_expectation_maximisation_trusts_what_agrees():
-    seen = {("number", "++0000"): 50, ("number", "+0+000"): 40, ("number", "0-0000"): 20, ("number", "00000-"): 10, ("number", "00+0+0"): 5}
-    truth = pii.reliabilities(seen)
-    assert truth["number", "++0000"] > 0.9 and truth["number", "00+0+0"] > 0.5
-    assert truth["number", "0-0000"] < 0.2 and truth["number", "00000-"] < 0.3
-
-
-def test_added_personal_data(spark, tiny):
-    detector = pii.train(table(spark, tiny, "documents"))
-    assert detector.spans("please call 555-123-4567 today") == [("number", 12, 24)]
-    assert detector.spans("see page 1234567 of ISBN 9783161484100, version 2021-05-06 12345") == []
+def test_expectation_maximisation_tells_noise_from_evidence():
+    """Two functions are right nine times in ten, four vote at random: the majority of six is misled, the estimates aren't."""
+    rng = np.random.default_rng(6)
+    truth = rng.random(4000) < 0.4
+    cast = np.stack([np.where(rng.random(4000) < 0.9, truth, ~truth) if f < 2 else rng.random(4000) < 0.5 for f in range(6)], axis=1) * 2 - 1
+    wrong = [np.mean((pii.estimated(cast, np.ones(4000), rounds)[0] > 0.5) != truth) for rounds in (pii.EM_ROUNDS, 0)]
+    assert wrong[0] < 0.12 and wrong[1] > 0.2
+    _, share, rates = pii.estimated(cast, np.ones(4000))
+    assert abs(share - 0.4) < 0.05 and (rates[1, :2, 2] > 0.8).all() and (np.abs(rates[1, 2:, 2] - 0.5) < 0.1).all()
+
+
+def added(detector, texts):
+    return [[s for s in detector.spans(t, b) if s not in b] for t, b in ((t, pii.base_spans(t)) for t in texts)]
+
+
+@pytest.mark.parametrize("rounds", [pii.EM_ROUNDS, 0])
+def test_added_personal_data(spark, rounds):
+    """Planted data that no base pattern finds, among look-alikes and misleading words; tested on texts not seen in training."""
+    texts, _ = planted.texts(1, 3000, cues=0.25)
+    held, where = planted.texts(2, 1500, cues=0.25)
+    detector = pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rounds=rounds)
+    where = [[w for w in ws if not any(s < w[2] and w[1] < e for _, s, e in pii.base_spans(t))] for t, ws in zip(held, where, strict=True)]
+    precision, recall = planted.scored(added(detector, held), where)
+    print(rounds, precision, recall)
+    if rounds:
+        assert precision >= 0.97 and recall >= 0.97
+    else:  # without expectation-maximisation, misleading words do mislead
+        assert precision < 0.8
+
+
+def test_clean_documents_are_left_alone(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    found = pii.personal_data(docs).where("spans <> base").count()
+    assert found <= 0.001 * docs.count()
+
+
+def test_many_spans_and_long_digits_in_linear_time():
+    detector = pii.fitted([])
+    assert pii.base_spans("x " + "0" * 5000 + ".1.1.1 " + "1" * 5000 + ".1.1.1") == [("ip", 2, 5008)]
+    began = time.perf_counter()
+    text = "call 555-123-4567 or joe@example.com, Anna Keller " * 20_000
+    assert len(detector.spans(text)) == 20_000 and time.perf_counter() - began < 20
 
 
 ASSIGN = re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else "_?" for c in w) for w in ("password", "passwd", "secret", "token", "api?key")) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
