@@ -2,28 +2,36 @@
 
 Base patterns (assign, access, hex) find spans outright. Beyond them, a CRF tags each token of a text as outside, begin
 or inside of a secret, from hashed features of the token's shape and word, its neighbours, and the file; tags are
-decoded by Viterbi. The CRF is fitted on a bounded sample of text windows (TRAIN_WINDOWS, half of them around base
-matches) whose base matches are the labels.
+decoded by Viterbi. The CRF is fitted on a bounded sample of distinct text windows (TRAIN_WINDOWS, half of them around
+base matches), whose base matches are the labels, digits alone excepted. As those show few kinds of secrets, each window
+also stands in the sample in another guise: with its secrets and the words before them drawn anew from other alphabets and
+names, or, where it has none, with harmless long tokens (compound words, identifiers, links, dates, numbers) put in.
 
 Features of a token are sums of weights by bucket, so a block of texts is scored by array look-ups. Decoding cuts a
 text at tokens that any best path must leave outside: where outside leads the other tags by more than what follows can
 make up for. What lies between is decoded by Viterbi, exactly; most text costs a comparison.
 
-Every text is scanned in the task that reads it; only training windows are shuffled.
+One pass over the texts samples windows: each task passes on its TRAIN_WINDOWS / 2 distinct windows of the least hashes,
+of either sort. A second pass scans every text in the task that reads it.
 """
 
 from __future__ import annotations
 
+import heapq
+import random
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import blocks, keyed_texts, prepared, table
+from recordloom.llm.common import blocks, keyed_texts, prepared, table, text_or_empty
 
 KINDS = ("assign", "access", "hex")
 #: The kind that only the method adds, last in the order of equal starts.
@@ -53,9 +61,9 @@ def base_spans(text: str) -> list[Span]:
 
 
 def secret_spans(text: str) -> list[tuple[int, int]]:
-    """What of the base matches is the secret itself: an assignment's value, a key, a hex string; overlaps united."""
+    """What of the base matches is the secret itself: an assignment's value, a key, a hex string that isn't all digits; overlaps united."""
     raw = [m.span(1) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
-    raw += [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= 18] + [m.span() for m in LONG_HEX.finditer(text)]
+    raw += [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= 18] + [m.span() for m in LONG_HEX.finditer(text) if not m[0].isdigit()]
     out: list[tuple[int, int]] = []
     for s, e in sorted(raw):
         if out and s < out[-1][1]:
@@ -279,42 +287,116 @@ def fitted(windows: list[tuple[str, list[tuple[int, int]]]], rounds: int = ROUND
     return crf
 
 
-def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(has, text, spans): a window around each text's first base match, or the text's middle where there is none."""
-    for block in blocks(batches):
-        rows = []
-        for text in block["text"].to_pylist():
-            found = secret_spans(text)
-            centre = (found[0][0] + min(found[0][1], found[0][0] + WINDOW)) // 2 if found else len(text) // 2
-            low, high = max(0, centre - WINDOW // 2), centre + WINDOW // 2
-            inside = [x for s, e in found if s < high and e > low for x in (max(s, low) - low, min(e, high) - low)]
-            if text:
-                rows.append((bool(found), text[low:high], inside))
+# How secrets are written, and words that go before them, beside those of the base patterns; and what else is long.
+ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+NAMES = ("password", "pass", "secret", "token", "auth", "key", "private key", "client_secret", "access-key", "credentials", "bearer", "login", "signing key", "session", "apikey")
+NAME = re.compile(r"(?:password|passwd|secret|token|api_?key)(?=[\"']?\x20*[:=])", re.IGNORECASE)
+PREFIXES = ("", "", "", "pk_", "key-", "glpat-", "AIza", "v1.")
+MORE = 8
+MARKS = (" = ", "=", ": ", ":", " is ", " ", ' = "', ": '")
+
+
+def invented(r: random.Random) -> str:
+    alphabet = r.choice(ALPHABETS)
+    while True:
+        body = "".join(r.choices(alphabet, k=r.randrange(16, 64)))
+        if not body.isalpha() and not body.isdigit():
+            return r.choice(PREFIXES) + body
+
+
+def harmless(r: random.Random, words: list[str]) -> str:
+    """A long token that is no secret, some of it of words of the text itself."""
+    a, b, c = (r.choice(words) for _ in range(3))
+    day = f"20{r.randrange(10, 30)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}"
+    return r.choice([
+        a + b, a + b + c, a + b.title() + c.title(), f"{a}_{b}_{c}", f"{a}-{b}-{c}", f"{a}_{b}".upper(), f"https://www.{a}.com/{b}/{c}{r.randrange(100)}.html", f"/usr/{a}/{b}/{c}.txt", f"{a}.{b}@{c}.org",
+        day, f"{day}T{r.randrange(24):02d}:{r.randrange(60):02d}:00Z", str(r.randrange(10**16)), f"{r.randrange(10**9):,}.{r.randrange(100):02d}", f"{r.randrange(20)}.{r.randrange(20)}.{r.randrange(200)}", f"+{r.randrange(1, 99)} ({r.randrange(100, 999)}) {r.randrange(100, 999)}-{r.randrange(1000, 9999)}",
+        f"{r.choice(NAMES)} of {a}", f"the {r.choice(NAMES)}: {a} {b}", f"{a}({b}={c})", (a + b + c).upper(), f"{a}{r.randrange(10**6)}",
+    ])
+
+
+def disguised(text: str, spans: list[tuple[int, int]], r: random.Random) -> tuple[str, list[tuple[int, int]]]:
+    """A window with its secrets drawn anew and maybe other words before them; or with harmless long tokens put in."""
+    if not spans:
+        words = text.split(" ")
+        short = [w for w in words if w.isalpha() and len(w) < 12] or ["word"]
+        for _ in range(6):
+            words.insert(r.randrange(len(words) + 1), harmless(r, short))
+        return " ".join(words), []
+    out, found, at = "", [], 0
+    for s, e in spans:
+        named = list(NAME.finditer(text, at, s))
+        before = text[at : named[-1].start()] if named else text[at:s]
+        other = r.choice([w for w in before.split(" ") if w] or [""])
+        out += before + r.choice([r.choice(NAMES), other, ""]) + r.choice(MARKS)
+        secret = invented(r)
+        found.append((len(out), len(out) + len(secret)))
+        out, at = out + secret, e
+    return out + text[at:], found
+
+
+def guises(windows: list[tuple[str, list[tuple[int, int]]]], seeds: list[int], most: int) -> list[tuple[str, list[tuple[int, int]]]]:
+    """A disguise of each window, and where few windows have secrets, as many of each as make up for that, but MORE at most."""
+    times = min(MORE, max(1, most // max(1, sum(bool(s) for _, s in windows))))
+    return [disguised(*w, random.Random(f"{h} {i}")) for w, h in zip(windows, seeds, strict=True) for i in range(times if w[1] else 1)]
+
+
+def window(text: str) -> tuple[str, list[int]]:
+    """What is around a text's first base match, or its middle where there is none, and the labels' bounds in it."""
+    found = secret_spans(text)
+    centre = (found[0][0] + min(found[0][1], found[0][0] + WINDOW)) // 2 if found else len(text) // 2
+    low, high = max(0, centre - WINDOW // 2), centre + WINDOW // 2
+    return text[low:high], [x for s, e in found if s < high and e > low for x in (max(s, low) - low, min(e, high) - low)]
+
+
+def sampler(most: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow function: a task's distinct windows (has, h, text, spans) of the least hashes, at most so many of either sort."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[bool, dict[int, tuple[str, list[int]]]] = {True: {}, False: {}}
+        worst: dict[bool, list[int]] = {True: [], False: []}  # the hashes kept, negative: a heap whose first is the largest
+        for block in blocks(batches):
+            for text in block["text"].to_pylist():
+                if text:
+                    cut, spans = window(text)
+                    has, h = bool(spans), xxhash.xxh64_intdigest(cut.encode()) >> 1
+                    if h not in kept[has] and (len(worst[has]) < most or h < -worst[has][0]):
+                        kept[has][h] = cut, spans
+                        heapq.heappush(worst[has], -h)
+                        if len(worst[has]) > most:
+                            del kept[has][-heapq.heappop(worst[has])]
+        rows = [(has, h, *kept[has][h]) for has in kept for h in kept[has]]
         if rows:
-            has, cut, spans = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(cut), pa.array(spans, pa.list_(pa.int32()))], names=["has", "text", "spans"])
+            has, h, cut, spans = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(h, pa.int64()), pa.array(cut), pa.array(spans, pa.list_(pa.int32()))], names=["has", "h", "text", "spans"])
+
+    return run
 
 
 def train(df: DataFrame, text_col: str = "text", train_windows: int = TRAIN_WINDOWS) -> Crf:
-    """A CRF from at most train_windows windows of the texts of df, half with base matches, chosen by a hash."""
-    texts = prepared(df.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")))
-    found = texts.mapInArrow(windows, "has boolean, text string, spans array<int>").withColumn("h", F.xxhash64("text"))
-    chosen = found.where("has").orderBy("h", "text").limit(train_windows // 2).union(found.where("NOT has").orderBy("h", "text").limit(train_windows // 2))
-    rows = [(r["text"], list(zip(r["spans"][::2], r["spans"][1::2], strict=True))) for r in chosen.collect()]
-    return fitted(sorted(rows))
+    """A CRF from at most train_windows distinct windows of the texts of df, half with base matches, chosen by a hash, and their disguises."""
+    half = train_windows // 2
+    texts = prepared(df.select(text_or_empty(text_col).alias("text")))
+    found = texts.mapInArrow(sampler(half), "has boolean, h long, text string, spans array<int>").groupBy("has", "h").agg(F.any_value(F.struct("text", "spans")).alias("w"))
+    rank = F.row_number().over(Window.partitionBy("has").orderBy("h"))
+    rows = found.withColumn("rank", rank).where(F.col("rank") <= half).select("h", "w.*").orderBy("h").collect()
+    plain = [(r["text"], list(zip(r["spans"][::2], r["spans"][1::2], strict=True))) for r in rows]
+    return fitted(sorted(plain + guises(plain, [r["h"] for r in rows], half)))
 
 
 def added_spans(crf: Crf, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
-    """Secrets that the CRF tags, of at least MIN_ADDED code points, which don't overlap base spans."""
+    """Secrets that the CRF tags, of at least MIN_ADDED code points, without white space and not letters alone, which don't overlap base spans."""
     tokens = tokenized(texts)
     tags = crf.decode(tokens)
     out: list[list[Span]] = [[] for _ in texts]
+    bounds = [([s for _, s, _ in b], [0, *accumulate((e for _, _, e in b), max)]) for b in base]
     for i in np.flatnonzero(tags == BEGIN):
         j = i
-        while j + 1 < len(tags) and tags[j + 1] == INSIDE and tokens.doc[j + 1] == tokens.doc[i]:
+        while j + 1 < len(tags) and tags[j + 1] == INSIDE and tokens.doc[j + 1] == tokens.doc[i] and tokens.start[j + 1] == tokens.end[j]:
             j += 1
         d, s, e = int(tokens.doc[i]), int(tokens.start[i]), int(tokens.end[j])
-        if e - s >= MIN_ADDED and all(e <= a or b <= s for _, a, b in base[d]):
+        starts, reach = bounds[d]
+        if e - s >= MIN_ADDED and s >= reach[bisect_left(starts, e)] and not texts[d][s:e].isalpha():
             out[d].append(("secret", s, e))
     return out
 

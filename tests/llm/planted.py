@@ -76,3 +76,47 @@ def scored(found, where):
     right = sum(any(same(f, w) for w in ws) for fs, ws in zip(found, where, strict=True) for f in fs)
     hit = sum(any(same(f, w) for f in fs) for fs, ws in zip(found, where, strict=True) for w in ws)
     return right / max(1, sum(map(len, found))), hit / max(1, sum(map(len, where)))
+
+
+BASE62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def drawn(r, alphabet, n):
+    return "".join(r.choice(alphabet) for _ in range(n - 2)) + r.choice("0123456789") + r.choice(alphabet)
+
+
+def secret(r):
+    """What goes before a secret that no base pattern finds, the secret, and what follows."""
+    return r.choice([
+        lambda: ('pwd = "', drawn(r, BASE62, r.randrange(16, 32)), '"'), lambda: ("PRIVATE: ", drawn(r, BASE62 + "+/", 40), ""), lambda: ("Authorization: Bearer ", drawn(r, BASE62 + "-_", r.randrange(40, 80)), ""), lambda: ("", "ghp_" + drawn(r, BASE62, 36), ""),
+        lambda: ("charge with ", "sk_live_" + drawn(r, BASE62, 24), ""), lambda: ("signature ", drawn(r, "0123456789ABCDEF", 40), ""), lambda: ("my secret is ", drawn(r, BASE62, 24), ""), lambda: ("passphrase -> ", drawn(r, BASE62 + "-_", 28), ""),
+    ])()
+
+
+def no_secret(r):
+    """Something long that is no secret."""
+    word = lambda: "".join(filler(r, 1))
+    return r.choice([
+        lambda: "get" + "".join(word().title() for _ in range(4)), lambda: "_".join(filler(r, 4)), lambda: f"http://{word()}.net/{word()}/{word()}?{word()}={r.randrange(99)}", lambda: f"C:/{word()}/{word()}/{word()}.docx", lambda: "".join(filler(r, 4)), lambda: "-".join(filler(r, 4)),
+        lambda: f"{word()}-{r.randrange(9)}.{r.randrange(20)}.{r.randrange(20)}.tar.gz", lambda: f"20{r.randrange(10, 25)}-0{r.randrange(1, 9)}-1{r.randrange(9)}T12:{r.randrange(10, 59)}:31+02:00", lambda: f"+4{r.randrange(9)} ({digits(r, 3)}) {digits(r, 3)}-{digits(r, 4)}", lambda: "_".join(filler(r, 4)).upper(),
+        lambda: "internationalisation", lambda: "Donaudampfschifffahrtsgesellschaft", lambda: f"the password of {word()} {word()}", lambda: f"{word()}.{word()}@{word()}.com", lambda: digits(r, 13),
+    ])()
+
+
+def secret_texts(seed, n):
+    """n texts, and of each the planted ("secret", start, end)."""
+    r, out, where = random.Random(seed), [], []
+    for _ in range(n):
+        text, spans = " ".join(filler(r, r.randrange(5, 40))), []
+        for _ in range(r.randrange(0, 4)):
+            text += " "
+            if r.random() < 0.3:
+                before, hidden, after = secret(r)
+                spans.append(("secret", len(text + before), len(text + before + hidden)))
+                text += before + hidden + after
+            else:
+                text += no_secret(r)
+            text += " " + " ".join(filler(r, r.randrange(8, 30)))
+        out.append(text)
+        where.append(spans)
+    return out, where

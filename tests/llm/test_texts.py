@@ -341,6 +341,33 @@ def test_the_field_finds_held_out_secrets(spark, crf):
     assert hit >= 0.85 * len(want) and right >= 0.9 * sum(map(len, found))
 
 
+def test_added_secrets(spark, crf):
+    """Planted secrets that no base pattern finds, of other names and prefixes than training has, among long harmless tokens."""
+    texts, where = planted.secret_texts(3, 1500)
+    base = [secrets.base_spans(t) for t in texts]
+    where = [[w for w in ws if not any(s < w[2] and w[1] < e for _, s, e in b)] for ws, b in zip(where, base, strict=True)]
+    precision, recall = planted.scored(secrets.added_spans(crf, texts, base), where)
+    print(precision, recall)
+    assert precision >= 0.97 and recall >= 0.6
+    assert not any(c.isspace() for t, found in zip(texts, secrets.added_spans(crf, texts, base), strict=True) for _, s, e in found for c in t[s:e])
+
+
+def test_no_fragments_of_words_are_added(spark, crf):
+    texts = [r.text or "" for r in table(spark, "/root/testdata/sf0.1", "documents").collect()]
+    for low in range(0, len(texts), 1000):
+        part = texts[low : low + 1000]
+        found = secrets.added_spans(crf, part, [secrets.base_spans(t) for t in part])
+        assert not [t[s:e] for t, f in zip(part, found, strict=True) for _, s, e in f if not any(c.isdigit() for c in t[s:e])]
+
+
+def test_windows_are_distinct(spark):
+    rows = [(i, "the same text") for i in range(500)] + [(500 + i, f"a text of its own, number {i}, token = {'a1' * 10}{i}" if i % 2 else f"another one {i}") for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = frame.select("text").mapInArrow(secrets.sampler(40), "has boolean, h long, text string, spans array<int>").collect()
+    assert len(found) == len({(r.h, r.text) for r in found}) + sum(r.text == "the same text" for r in found) - min(1, sum(r.text == "the same text" for r in found))
+    assert {r.has for r in found} == {True, False} and all(len(r.spans) == 2 for r in found if r.has)
+
+
 def test_secrets_of_hard_rows(spark, crf):
     rows = secrets.secrets(cases.documents(spark), crf).collect()
     known = dict(enumerate(cases.TEXTS))
