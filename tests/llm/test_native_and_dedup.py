@@ -5,6 +5,7 @@ from math import isqrt
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -101,22 +102,45 @@ def test_rice_codes_round_trip(values):
     assert np.array_equal(exact_dedup.hash_list(exact_dedup.rice_encode(gaps), len(hashes)), hashes)
 
 
-VECTORS = [(0, [1.0, 0.0, -0.5]), (1, [1.0, 0.0, -0.5]), (2, [0.25, 3.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf")]), (7, []), (8, [0.001, -0.001, 2.0]), (50, [1.0, 1.0, 1.0]), (50, [1.0, 1.0, 1.0]), (50, [0.5, 0.0, 0.0]), (None, [9.0, 9.0, 9.0])]
+VECTORS = [(0, [1.0, 0.0, -0.5]), (1, [1.0, 0.0, -0.5]), (2, [0.25, 3.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf")]), (7, []), (8, [0.001, -0.001, 2.0]), (50, [1.0, 1.0, 1.0]), (50, [1.0, 1.0, 1.0]), (50, [0.5, 0.0, 0.0]), (None, [9.0, 9.0, 9.0]), (None, [0.5, 0.0, 0.0])]
+HUGE = [(100, [1e30, 1.0, 0.0]), (150, [-3e38, 2.0]), (9, [1e10, 1e10, 1.0]), (200, [1e-40, -1e30])]
 
 
-def test_top_k_of_hard_rows(spark):
-    df = spark.createDataFrame([(i, v, i) for i, v in VECTORS], "vec_id long, embedding array<float>, score long").repartition(3)
-    got = topk.top_k(df, F.pmod("vec_id", F.lit(50)) == 0, query_block=2).collect()
-    fine = [(i, [int(np.floor(256 * np.float32(x).astype(float))) for x in v]) for i, v in VECTORS if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    want = []
+def brute_top(vectors, k=5):
+    fine = [(i, [int(np.floor(np.float32(x).astype(object) * 256)) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     for q, (i, v) in enumerate(fine):
-        if i % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for k, (j, w) in enumerate(fine) if k != q)[:5]
-            want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
-    assert Counter(tuple(r) for r in got) == Counter(want)
+        if i is not None and i % 50 == 0:
+            scores = [(min(2**63 - 1, max(1 - 2**63, sum(a * b for a, b in zip(v, w, strict=False)))), j) for n, (j, w) in enumerate(fine) if n != q]
+            for r, (s, j) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k], 1):
+                yield i, r, j, s
+
+
+@pytest.mark.parametrize("blocks", [topk.BROADCAST_BLOCKS, 0])
+@pytest.mark.parametrize("vectors", [VECTORS, VECTORS + HUGE])
+def test_top_k_of_hard_rows(spark, vectors, blocks, monkeypatch):
+    df = spark.createDataFrame([(i, v, i) for i, v in vectors], "vec_id long, embedding array<float>, score long").repartition(3)
+    got = topk.top_k(df, F.pmod("vec_id", F.lit(50)) == 0, broadcast_blocks=blocks).collect()
+    assert Counter(tuple(r) for r in got) == Counter(brute_top(vectors))
     assert topk.top_k(df.limit(0), F.lit(True)).collect() == []
 
 
+def test_blocks_of_few_rows(monkeypatch):
+    """Many blocks a task, ties, and more than k rows of the highest score."""
+    rng = np.random.default_rng(1)
+    rows = [(int(i), rng.integers(-2, 3, 4).astype(float).tolist()) for i in rng.permutation(300)]
+    pack = lambda size, part: list(topk.packer(size, False)([pa.RecordBatch.from_pydict({"vec_id": [i for i, _ in part], "file": [0] * len(part), "at": [i for i, _ in part], "x": pa.array([v for _, v in part], pa.list_(pa.float64()))})]))
+    asks = [r for r in rows if r[0] % 50 == 0]
+    pairs = [pa.RecordBatch.from_arrays([*b.columns, *q.columns], names=[f"c{i}" for i in range(12)]) for b in pack(7, rows) for q in pack(4, asks)]
+    got = {}
+    for b in topk.searched(5, False)(pairs):
+        for r in b.to_pylist():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    want = {}
+    for i, _, j, s in brute_top(rows):
+        want.setdefault(i, []).append((j, s))
+    assert got == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, tiny, name):
     con = duckdb.connect()
