@@ -8,8 +8,10 @@ run of spaces and at each line feed, and a text's count is the sum of its pre-to
 2. An owner counts the pieces of each distinct pre-token once and answers each message with the counts.
 3. A block joins the answers to its matrix and sums.
 
-A pre-token is in a message once for each block, so frequent words aren't hot. Owners are as many as shuffle
-partitions; blocks have bounded text.
+A pre-token is in a message once for each block, so frequent words aren't hot. Blocks have bounded text. Owners are as
+many as the text needs, so that what one holds is bounded: a range for each OWNER_BYTES of text, up to REGION_BYTES of
+it. Beyond, blocks are dealt over regions that each have their own owners: a pre-token is counted once for each region,
+and neither an owner's memory nor the number of a block's messages grows with the input.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from recordloom.llm.common import blocks, durable, keyed_texts, shuffle_partitio
 
 PRE_TOKEN = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
 SPACE_MARK = "▁"
-TEXT_BYTES = 24 << 20
+#: Text bytes of a block; of text for each owner; and of text that has one set of owners.
+TEXT_BYTES, OWNER_BYTES, REGION_BYTES = 16 << 20, 48 << 20, 64 << 30
 LIMIT = 4096
 
 
@@ -100,7 +103,16 @@ def strings_in(data: bytes) -> pa.Array:
     return pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[8 + 4 * n :]))
 
 
-def block_rows(owners: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def region(block: int, regions: int) -> int:
+    return (block * 0x9E3779B97F4A7C15 >> 13 & 0xFFFFFFFF) % regions
+
+
+def dealt(size: int, least: int) -> tuple[int, int]:
+    """Owners of a region, and regions, for so many bytes of text."""
+    return max(1, min(least, REGION_BYTES // OWNER_BYTES), -(-min(size, REGION_BYTES) // OWNER_BYTES)), max(1, -(-size // REGION_BYTES))
+
+
+def block_rows(owners: int, regions: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     message = pa.list_(pa.struct([("owner", pa.int32()), ("tokens", pa.binary())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +139,8 @@ def block_rows(owners: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.
             cuts = np.flatnonzero(np.diff(by, prepend=-1))
             sent = [{"owner": int(by[a]), "tokens": strings_out(vocabulary.slice(a, b - a))} for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True)] if len(by) else []
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([block["doc_id"].to_pylist()], pa.list_(block["doc_id"].type)), pa.array([pa.compute.binary_length(block["text"]).to_pylist()], pa.list_(pa.int64())), pa.array([packed([sizes, step, times])], pa.binary()), pa.array([sent], message)],
-                names=["block", "doc_ids", "n_bytes", "matrix", "messages"],
+                [pa.array([number]), pa.array([region(number, regions)], pa.int32()), pa.array([block["doc_id"].to_pylist()], pa.list_(block["doc_id"].type)), pa.array([pa.compute.binary_length(block["text"]).to_pylist()], pa.list_(pa.int64())), pa.array([packed([sizes, step, times])], pa.binary()), pa.array([sent], message)],
+                names=["block", "region", "doc_ids", "n_bytes", "matrix", "messages"],
             )
             number += 1
 
@@ -173,9 +185,11 @@ def token_counts(df: DataFrame, path: str | None = None, limit: int = LIMIT, id_
     texts = keyed_texts(df, id_col, text_col)
     kind = texts.schema["doc_id"].dataType.simpleString()
     sent = spark.sparkContext.broadcast(Path(path or default_path()).read_bytes())
-    rows = durable(texts.mapInArrow(block_rows(shuffle_partitions(spark)), f"block long, doc_ids array<{kind}>, n_bytes array<long>, matrix binary, messages array<struct<owner:int,tokens:binary>>"))
-    asked = rows.select("block", F.inline("messages"))
-    answers = asked.groupBy("owner").applyInPandas(counted(sent), "block long, owner int, counts binary")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    owners, regions = dealt(size, shuffle_partitions(spark))
+    rows = durable(texts.mapInArrow(block_rows(owners, regions), f"block long, region int, doc_ids array<{kind}>, n_bytes array<long>, matrix binary, messages array<struct<owner:int,tokens:binary>>"))
+    asked = rows.select("block", "region", F.inline("messages"))
+    answers = asked.groupBy("region", "owner").applyInPandas(counted(sent), "block long, owner int, counts binary")
     back = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "counts")).alias("answers"))
     whole = rows.select("block", "doc_ids", "n_bytes", "matrix").join(back, "block", "left").select("doc_ids", "n_bytes", "matrix", "answers")
     return whole.mapInArrow(summed, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -60,10 +60,22 @@ def test_tree_concatenation_is_exact():
             assert codec.tree(piece, leaf) == codec.single(piece)
 
 
-def test_token_counts(hard, libraries):
+def test_token_counts(hard, libraries, monkeypatch):
     lib = libraries[2]
     want = Counter((i, len(t.encode()), len(lib.encode(t)), len(lib.encode(t)) > 50) for i, t in texts_by_id(hard))
     assert Counter(map(tuple, token_counts.token_counts(hard, limit=50).collect())) == want
+    for name, small in (("TEXT_BYTES", 1 << 16), ("OWNER_BYTES", 1 << 15), ("REGION_BYTES", 1 << 17)):  # many blocks, owners and regions
+        monkeypatch.setattr(token_counts, name, small)
+    assert Counter(map(tuple, token_counts.token_counts(hard.repartition(3), limit=50).collect())) == want
+
+
+def test_owners_follow_the_text():
+    sizes = [0, 1, 500 << 20, 64 << 30, 100 << 40]
+    for size in sizes:
+        owners, regions = token_counts.dealt(size, 12)
+        assert size <= regions * token_counts.REGION_BYTES and owners >= min(12, owners)
+        assert min(size, token_counts.REGION_BYTES) <= owners * token_counts.OWNER_BYTES and owners <= 1400
+    assert {token_counts.region(b, 7) for b in range(0, 100 << 32, 1 << 32)} == set(range(7))
 
 
 def check_packing(rows, want, capacity):
