@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with tree concatenation of long unsplit text.
 
 Pre-tokenisation splits most text into short pieces, which the merge engine encodes at once. A piece that it can't
-split (a long run without a boundary) is halved down to leaves; leaves are encoded in parallel; and halves are joined
-up the tree: a window of tokens around the join is encoded again and grows until its first token is the left half's
+split (a long run without a boundary) is halved down to leaves; leaves are encoded in parallel, by threads whose merge
+engine runs without the interpreter's lock; and halves are joined up the tree: a window of tokens around the join is encoded again and grows until its first token is the left half's
 own and its last token the right half's own. As BPE output is right exactly if all neighbouring tokens are right as a
 pair, the joined tokens are then those of the whole piece, exactly.
 
@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 
 from recordloom.llm.common import blocks, keyed_texts, prepared, table
 
-#: Pieces of at least this many characters are encoded by tree concatenation, from leaves of this many bytes.
+#: Pieces of at least this many characters are encoded by tree concatenation, from leaves of at most LEAF characters.
 LONG_PIECE, LEAF = 4096, 2048
 THREADS = 2
 
@@ -60,6 +60,7 @@ class Codec:
         import public_tokenizers
 
         self.core = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.unsplit = tiktoken.Encoding("unsplit", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
         self.split = Tokenizer.from_str(file.decode()).pre_tokenizer.pre_tokenize_str
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.long = re.compile(rf"\S{{{LONG_PIECE - 1}}}|\s{{{LONG_PIECE - 1}}}")
@@ -77,12 +78,12 @@ class Codec:
                 return left[: len(left) - len(a)] + window + right[len(b) :]
             width *= 2
 
-    def tree(self, piece: bytes, leaf: int = LEAF) -> list[int]:
+    def tree(self, piece: str, leaf: int = LEAF) -> list[int]:
         """Tokens of one unsplit piece."""
         cuts = [0, len(piece)]
-        while cuts[1] - cuts[0] > leaf:
+        while max(b - a for a, b in zip(cuts, cuts[1:], strict=False)) > leaf:
             cuts = sorted({*cuts, *((a + b) // 2 for a, b in zip(cuts, cuts[1:], strict=False))})
-        parts = list(self.pool.map(self.single, (piece[a:b] for a, b in zip(cuts, cuts[1:], strict=False))))
+        parts = list(self.pool.map(self.unsplit, (piece[a:b] for a, b in zip(cuts, cuts[1:], strict=False))))
         while len(parts) > 1:
             pairs = [parts[i : i + 2] for i in range(0, len(parts), 2)]
             parts = [self.joined(*p) if len(p) == 2 else p[0] for p in pairs]
@@ -93,8 +94,7 @@ class Codec:
             return self.core.encode_ordinary(text)
         out: list[int] = []
         for _, (start, end) in self.split(text):
-            piece = text[start:end].encode()
-            out += self.tree(piece) if end - start >= LONG_PIECE else self.single(piece)
+            out += self.tree(text[start:end]) if end - start >= LONG_PIECE else self.single(text[start:end].encode())
         return out
 
     def encode(self, text: str) -> list[int]:

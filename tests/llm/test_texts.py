@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import threading
 import time
 import zlib
 from collections import Counter
@@ -55,9 +56,31 @@ def test_tree_concatenation_is_exact():
     codec = bpe.Codec(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
     r = random.Random(5)
     for size in (1, 2, 7, 100, 3000):
-        piece = "".join(r.choice("abcdeht  nio") for _ in range(size)).encode()
+        piece = "".join(r.choice("abcdeht  nioé日") for _ in range(size))
         for leaf in (1, 3, 64):
-            assert codec.tree(piece, leaf) == codec.single(piece)
+            assert codec.tree(piece, leaf) == codec.single(piece.encode())
+
+
+def test_leaves_are_encoded_in_parallel():
+    """While one thread encodes, others run: the engine doesn't hold the interpreter's lock."""
+    codec = bpe.Codec(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
+    r = random.Random(1)
+    leaf = "".join(r.choice("abcdehtnio") for _ in range(400_000))
+    done, beats = threading.Event(), []
+
+    def work():
+        for _ in range(4):
+            codec.unsplit(leaf)
+        done.set()
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    while not done.is_set():
+        beats.append(time.perf_counter())
+        time.sleep(0.001)
+    thread.join()
+    took = beats[-1] - beats[0]
+    assert took > 0.1 and max(np.diff(beats)) < took / 4
 
 
 def test_token_counts(hard, libraries, monkeypatch):
