@@ -20,14 +20,13 @@ import sys
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from recordloom.errors import RecordError
 from recordloom.operators import fetch, predicates
 from recordloom.operators.store import Store
 from recordloom.plans.criteria import Tree, parse_filter, parse_lookup
 from recordloom.sources import export, text
-from recordloom.sources.text import ACTIONS, ids_of
+from recordloom.sources.text import ACTIONS
 
 VERSION = "0.1.0"
 
@@ -77,10 +76,7 @@ def main(args: list[str]) -> int:
         elif flag == "--compact":
             store.compact()
         elif flag == "--import":
-            base, pending = text.read_database(spark, rest[1])
-            adding = base.select(F.lit(0).cast("long").alias("seq"), F.lit("+").alias("op"), "uuid", "fields")
-            store.apply(adding)
-            store.apply(pending)
+            store.load(*text.read_database(spark, rest[1]))
         elif flag == "--export":
             v = store.version()
             export.write_database(store.base(v), store.pending(v) if v.wal else spark.createDataFrame([], ACTIONS), rest[1])
@@ -91,7 +87,7 @@ def main(args: list[str]) -> int:
             criteria = spark.read.text(rest[0], wholetext=True).first()
             _matched(store, (parse_lookup if flag == "--query" else parse_filter)(criteria["value"] if criteria else ""), show)
         else:
-            ids = ids_of(spark, sys.stdin.read().split()) if rest[0] == "-" else text.read_ids(spark, rest[0])
+            ids = text.ids_in(spark, sys.stdin.buffer.read()) if rest[0] == "-" else text.read_ids(spark, rest[0])
             _out(fetch.json_rows(store.records(), ids), "json")
     except (RecordError, PySparkException, OSError) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -44,8 +44,16 @@ def unescape(c: Column) -> Column:
         byte = F.char(F.conv(F.substring(token, 3, 2), 16, 10).cast("int"))
         return F.when(token == "\\\\", F.lit("\\")).when(token.startswith("\\x"), byte).otherwise(token)
 
-    tokens = F.regexp_extract_all(c, F.lit(ESCAPE_TOKEN), F.lit(1))
-    return F.when(is_escaped(c), F.when(~c.contains("\\"), c).otherwise(F.array_join(F.transform(tokens, plain), "")))
+    def part(p: Column) -> Column:
+        """Text between escaped backslashes: the escapes that escape() writes are replaced at once, others one by one."""
+        usual = p
+        for char, coded in ESCAPES[1:]:
+            usual = F.replace(F.replace(usual, F.lit(coded), F.lit(char)), F.lit(coded.lower()), F.lit(char))
+        rest = F.array_join(F.transform(F.regexp_extract_all(p, F.lit(ESCAPE_TOKEN), F.lit(1)), plain), "")
+        return F.when(~p.contains("\\"), p).when(~usual.contains("\\"), usual).otherwise(rest)
+
+    parts = F.split(c, r"\\\\", -1)
+    return F.when(~c.contains("\\"), c).when(is_escaped(c), F.array_join(F.transform(parts, part), "\\"))
 
 
 def unescaped(text: str) -> str | None:
@@ -76,21 +84,26 @@ def elements(c: Column) -> Column:
 
 
 def classify(c: Column) -> Column:
-    """array, timestamp, boolean, number or string, in this precedence."""
-    return (
-        F.when(is_array(c), "array").when(c.rlike(TIMESTAMP), "timestamp").when(c.isin("true", "false"), "boolean").when(c.rlike(NUMBER), "number").when(c.isNotNull(), "string")
-    )
+    """array, timestamp, boolean, number or string, in this precedence. Patterns are tried on what a digit or sign begins."""
+    digital = F.when(c.rlike(TIMESTAMP), "timestamp").when(c.rlike(NUMBER), "number").otherwise("string")
+    return F.when(is_array(c), "array").when(c.isin("true", "false"), "boolean").when(numeric_start(c), digital).when(c.isNotNull(), "string")
+
+
+def numeric_start(c: Column) -> Column:
+    """Whether the first character is a digit or a minus sign."""
+    first = F.ascii(c)
+    return first.between(48, 57) | (first == 45)
 
 
 def norm(c: Column) -> Column:
     """A text whose byte order is the numeric order of number-shaped values, equal for equal numbers; null for others."""
-    body = F.regexp_replace(c, "^-", "")
-    whole = F.regexp_extract(body, "^([0-9]+)", 1)
-    fraction = F.rtrim(F.regexp_extract(body, "[.]([0-9]+)", 1), F.lit("0"))
+    body = F.ltrim(c, F.lit("-"))
+    whole = F.substring_index(body, ".", 1)
+    fraction = F.when(body.contains("."), F.rtrim(F.substring_index(body, ".", -1), F.lit("0"))).otherwise(F.lit(""))
     size = F.concat(F.lpad(F.length(whole).cast("string"), 4, "0"), F.lit("_"), whole, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(F.lit("")))
     negative = c.startswith("-") & ~((whole == "0") & (fraction == ""))
     below = F.concat(F.lit("N"), F.translate(size, "0123456789", "9876543210"), F.lit("~"))
-    return F.when(c.rlike(NUMBER) & (F.length(whole) <= MAX_DIGITS), F.when(negative, below).otherwise(F.concat(F.lit("P"), size)))
+    return F.when(numeric_start(c) & c.rlike(NUMBER) & (F.length(whole) <= MAX_DIGITS), F.when(negative, below).otherwise(F.concat(F.lit("P"), size)))
 
 
 def norm_of(text: str) -> str | None:
@@ -107,9 +120,14 @@ def norm_of(text: str) -> str | None:
 
 def json_string(c: Column) -> Column:
     short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
-    for plain, coded in [("\\", "\\\\"), ('"', '\\"')] + [(chr(n), short.get(n, f"\\u{n:04x}")) for n in range(32)]:
-        c = F.replace(c, F.lit(plain), F.lit(coded))
-    return F.concat(F.lit('"'), c, F.lit('"'))
+    coded_ = c
+    for plain, coded in [("\\", "\\\\"), ('"', '\\"')] + [(chr(n), short.get(n, f"\\u{n:04x}")) for n in (9, 10, 13)]:
+        coded_ = F.replace(coded_, F.lit(plain), F.lit(coded))
+    rare = coded_
+    for n in (n for n in range(32) if n not in (9, 10, 13)):
+        rare = F.replace(rare, F.lit(chr(n)), F.lit(short.get(n, f"\\u{n:04x}")))
+    special = F.when(c.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), rare).when(c.rlike(r'["\\\x09\x0A\x0D]'), coded_).otherwise(c)
+    return F.concat(F.lit('"'), special, F.lit('"'))
 
 
 def json_value(c: Column) -> Column:

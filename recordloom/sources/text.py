@@ -18,8 +18,16 @@ OPCODES = ("+", "-", "~", "!")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1) and text of a file; carriage returns at line ends are kept."""
-    whole = spark.read.text(path, wholetext=True)
+    """line (from 1) and text of a file; carriage returns at line ends are kept. Text that isn't UTF-8 raises."""
+    return _numbered(_whole(spark, path))
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    bad = F.raise_error(F.lit("not UTF-8")).cast("string")
+    return spark.read.text(path, wholetext=True).select(F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(bad).alias("value"))
+
+
+def _numbered(whole: DataFrame) -> DataFrame:
     split = whole.select(F.posexplode(F.split("value", "\n", -1)).alias("line", "text"))
     return split.withColumn("line", F.col("line").cast("long") + 1)
 
@@ -90,16 +98,14 @@ def read_database(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     at = jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], RECORDS), spark.createDataFrame([], ACTIONS)
-    whole = spark.read.text(path, wholetext=True)
-    all_ = F.transform(F.split("value", "\n", -1), lambda s: F.regexp_replace(s, "\\r+$", ""))
-    split = whole.select(all_.alias("all")).select(F.array_position("all", "").alias("blank"), F.posexplode("all").alias("at", "text"))
-    split = split.select((F.col("at") + 1).cast("long").alias("line"), "text", "blank")
-    sorted_ = split.where((F.col("blank") == 0) | (F.col("line") < F.col("blank"))).where("text <> ''")
+    split = lines(spark, path).withColumn("text", F.regexp_replace("text", "\\r+$", ""))
+    blank = split.where("text = ''").agg(F.coalesce(F.min("line"), F.lit((1 << 63) - 1))).first()[0]
+    sorted_ = split.where(F.col("line") < blank)
     uuid = F.substring("text", 1, 12)
     fields, wrong = _fields(F.split(F.rtrim(F.expr("substring(text, 14)")), "\t", -1))
     error = F.when(F.length("text") < 13, "line too short").when(~ids.is_valid(uuid) | (F.substring("text", 13, 1) != "\t"), "invalid id").otherwise(wrong)
     base = sorted_.select("line", uuid.alias("uuid"), fields.alias("fields"), error.alias("error"))
-    pending = actions_of(split.where((F.col("blank") > 0) & (F.col("line") > F.col("blank"))).select("line", "text"))
+    pending = actions_of(split.where(F.col("line") > blank))
     pending = pending.withColumn("error", F.when(F.col("error") == "array and object values aren't allowed; repeat the key", F.lit(None).cast("string")).otherwise(F.col("error")))
     _first_error(base.select("line", "error").union(pending.select("line", "error")))
     return base.select("uuid", "fields"), pending.select("seq", "op", "uuid", "fields")
@@ -107,7 +113,18 @@ def read_database(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """pos and uuid of an id list; order and repeats are kept. Every line is checked before anything is returned."""
-    rows = lines(spark, path)
+    return _ids(lines(spark, path))
+
+
+def ids_in(spark: SparkSession, data: bytes) -> DataFrame:
+    """read_ids() of a list that is at hand."""
+    try:
+        return _ids(_numbered(spark.createDataFrame([(data.decode(),)], "value string")))
+    except UnicodeDecodeError as e:
+        raise ParseError(data.count(b"\n", 0, e.start) + 1, "not UTF-8") from e
+
+
+def _ids(rows: DataFrame) -> DataFrame:
     error = F.when(F.col("text").endswith("\r"), "CRLF line ends").when((F.col("text") == "") | F.col("text").startswith("#"), F.lit(None).cast("string")).when(F.col("text").startswith("﻿"), "byte-order mark").when(F.octet_length("text") != 12, "expected 12 characters").when(~ids.is_valid(F.col("text")), "invalid id")
     _first_error(rows.select("line", error.alias("error")))
     return rows.where((F.col("text") != "") & ~F.col("text").startswith("#")).select(F.col("line").alias("pos"), F.col("text").alias("uuid"))
