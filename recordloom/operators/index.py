@@ -17,9 +17,12 @@ def pairs_of(records: DataFrame) -> DataFrame:
     return records.select("uuid", F.explode("fields").alias("key", "value"))
 
 
+def _chunk(chunks: int) -> Column:
+    return F.pmod(F.xxhash64("uuid"), F.lit(chunks)).cast("int") if chunks > 1 else F.lit(0)
+
+
 def _listed(pairs: DataFrame, keys: list[str | Column], chunks: int) -> DataFrame:
-    chunk = F.pmod(F.xxhash64("uuid"), F.lit(chunks)).cast("int") if chunks > 1 else F.lit(0)
-    return pairs.groupBy(*keys, chunk.alias("chunk")).agg(F.array_sort(F.collect_set("uuid")).alias("ids"))
+    return pairs.groupBy(*keys, _chunk(chunks).alias("chunk")).agg(F.array_sort(F.collect_set("uuid")).alias("ids"))
 
 
 def packed_by_key(pairs: DataFrame, chunks: int = 1) -> DataFrame:
@@ -49,7 +52,7 @@ def numeric(exploded: DataFrame) -> DataFrame:
     return exploded.select(norm(F.col("value")).alias("norm"), "key", "value", "uuid").where("norm IS NOT NULL")
 
 
-def profile(pairs: DataFrame) -> DataFrame:
-    """key, type, count and uuids of each class of whole values under a key."""
+def profile(pairs: DataFrame, chunks: int = 1) -> DataFrame:
+    """key, type, count and uuids of each class of whole values under a key. A row of several chunks counts its own ids."""
     typed = pairs.select("key", classify(F.col("value")).alias("type"), "uuid")
-    return typed.groupBy("key", "type").agg(F.count(F.lit(1)).alias("count"), F.array_join(F.array_sort(F.collect_list("uuid")), ",").alias("uuids"))
+    return typed.groupBy("key", "type", _chunk(chunks).alias("chunk")).agg(F.count(F.lit(1)).alias("count"), F.array_join(F.array_sort(F.collect_list("uuid")), ",").alias("uuids")).drop("chunk")

@@ -16,15 +16,15 @@ from recordloom.functions.codec import TOMBSTONE
 
 _STATE = "map<string,string>"
 #: State after each action, in order: null is absent.
-REPLAY = f"""aggregate(ops, CAST(NULL AS {_STATE}), (acc, o) -> CASE WHEN o.op = '-' THEN NULL WHEN o.op IN ('+', '!') THEN o.fields
+REPLAY = f"""aggregate(ops, CAST(NULL AS {_STATE}), (acc, o) -> CASE WHEN o.op = '-' THEN NULL WHEN o.op IN ('+', '!') THEN map_from_entries(o.cells)
  WHEN acc IS NULL THEN NULL
- ELSE map_filter(map_concat(map_filter(acc, (k, v) -> NOT map_contains_key(o.fields, k)), o.fields), (k, v) -> v <> char(0)) END)"""
+ ELSE map_filter(map_concat(map_filter(acc, (k, v) -> NOT array_contains(o.cells.key, k)), map_from_entries(o.cells)), (k, v) -> v <> char(0)) END)"""
 #: The first seq at which an action leaves a record without fields.
 EMPTIED = f"""aggregate(ops, named_struct('acc', CAST(NULL AS {_STATE}), 'bad', CAST(NULL AS BIGINT)), (s, o) -> named_struct('acc',
- CASE WHEN o.op = '-' THEN NULL WHEN o.op IN ('+', '!') THEN o.fields WHEN s.acc IS NULL THEN NULL
- ELSE map_filter(map_concat(map_filter(s.acc, (k, v) -> NOT map_contains_key(o.fields, k)), o.fields), (k, v) -> v <> char(0)) END,
- 'bad', coalesce(s.bad, CASE WHEN o.op = '!' AND size(o.fields) = 0 THEN o.seq WHEN o.op = '~' AND s.acc IS NOT NULL AND
- size(map_filter(map_concat(map_filter(s.acc, (k, v) -> NOT map_contains_key(o.fields, k)), o.fields), (k, v) -> v <> char(0))) = 0 THEN o.seq END)), s -> s.bad)"""
+ CASE WHEN o.op = '-' THEN NULL WHEN o.op IN ('+', '!') THEN map_from_entries(o.cells) WHEN s.acc IS NULL THEN NULL
+ ELSE map_filter(map_concat(map_filter(s.acc, (k, v) -> NOT array_contains(o.cells.key, k)), map_from_entries(o.cells)), (k, v) -> v <> char(0)) END,
+ 'bad', coalesce(s.bad, CASE WHEN o.op = '!' AND size(o.cells) = 0 THEN o.seq WHEN o.op = '~' AND s.acc IS NOT NULL AND
+ size(map_filter(map_concat(map_filter(s.acc, (k, v) -> NOT array_contains(o.cells.key, k)), map_from_entries(o.cells)), (k, v) -> v <> char(0))) = 0 THEN o.seq END)), s -> s.bad)"""
 
 
 def as_actions(base: DataFrame) -> DataFrame:
@@ -32,8 +32,8 @@ def as_actions(base: DataFrame) -> DataFrame:
 
 
 def _ordered(actions: DataFrame) -> DataFrame:
-    ops = F.collect_list(F.struct("seq", "op", "fields")).alias("ops")
-    return actions.groupBy("uuid").agg(ops).withColumn("ops", F.expr("array_sort(ops, (l, r) -> CAST(sign(l.seq - r.seq) AS INT))"))
+    """Each record's actions in order, fields as entries, by which rows can be sorted."""
+    return actions.groupBy("uuid").agg(F.sort_array(F.collect_list(F.struct("seq", "op", F.map_entries("fields").alias("cells")))).alias("ops"))
 
 
 def split_touched(base: DataFrame, wal: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,17 +49,20 @@ def replayed(base: DataFrame, wal: DataFrame) -> DataFrame:
 
 
 def replayed_cells(base: DataFrame, wal: DataFrame) -> DataFrame:
-    """Records after replay, by pre-aggregated maxima: each record's last reset, then each key's last value since.
+    """Records after replay, by pre-aggregated maxima: each key's last write, of which those since the record's last reset count.
 
-    Needs no list of a record's actions, so a record with a very long log is no hot group of rows in memory.
+    Needs no list of a record's actions, so a record with a very long log is no hot group of rows in memory. An action
+    that isn't a patch writes the null key, with its opcode, too.
     """
     rest, touched = split_touched(base, wal)
     actions = as_actions(touched).unionByName(wal.select("seq", "op", "uuid", "fields"))
-    reset = actions.where("op <> '~'").groupBy("uuid").agg(F.max("seq").alias("reset"), F.max_by("op", "seq").alias("last_op"))
-    cells = actions.where("op <> '-'").select("uuid", "seq", F.explode("fields").alias("key", "value"))
-    since = cells.join(reset.where("last_op <> '-'"), "uuid").where("seq >= reset")
-    last = since.groupBy("uuid", "key").agg(F.max_by("value", "seq").alias("value")).where(F.col("value") != TOMBSTONE)
-    folded = last.groupBy("uuid").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("fields"))
+    own = F.when(F.col("op") == "-", F.array().cast("array<struct<key:string,value:string>>")).otherwise(F.map_entries("fields"))
+    reset = F.when(F.col("op") == "~", F.array().cast("array<struct<key:string,value:string>>")).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("op").alias("value"))))
+    last = actions.select("uuid", "seq", F.inline(F.concat(reset, own))).groupBy("uuid", "key").agg(F.max(F.struct("seq", "value")).alias("last"))
+    resets = F.max(F.when(F.col("key").isNull(), F.col("last"))).alias("reset")
+    whole = last.groupBy("uuid").agg(resets, F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "last"))).alias("cells")).where("reset.value <> '-'")
+    kept = F.filter("cells", lambda c: (c["last"]["seq"] >= F.col("reset.seq")) & (c["last"]["value"] != TOMBSTONE))
+    folded = whole.select("uuid", F.map_from_entries(F.transform(kept, lambda c: F.struct(c["key"], c["last"]["value"]))).alias("fields")).where(F.size("fields") > 0)
     return rest.select("uuid", "fields").unionByName(folded)
 
 
@@ -114,8 +117,12 @@ def lookup(base: DataFrame, uuid: str) -> DataFrame:
 
 
 def patch(base: DataFrame, rows: DataFrame) -> DataFrame:
-    """base with the fields of rows (one for each id) merged in."""
-    return replayed(base, rows.select(F.lit(0).cast("long").alias("seq"), F.lit("~").alias("op"), "uuid", "fields"))
+    """base with the fields of rows (one for each id) merged in. A record that this empties raises, as does EmptyRecord in validate()."""
+    rest, touched = split_touched(base, rows)
+    wal = rows.select(F.lit(0).cast("long").alias("seq"), F.lit("~").alias("op"), "uuid", "fields")
+    folded = _ordered(as_actions(touched).unionByName(wal)).select("uuid", F.expr(REPLAY).alias("fields")).where("fields IS NOT NULL")
+    emptied = F.raise_error(F.concat(F.lit("a patch leaves no fields: "), F.col("uuid"))).cast("map<string,string>")
+    return rest.select("uuid", "fields").unionByName(folded.withColumn("fields", F.when(F.size("fields") > 0, F.col("fields")).otherwise(emptied)))
 
 
 def upsert(base: DataFrame, rows: DataFrame) -> DataFrame:

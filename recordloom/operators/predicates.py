@@ -14,7 +14,7 @@ from functools import reduce
 from operator import and_, or_
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.codec import elements, encode_array, norm, norm_of
@@ -152,18 +152,15 @@ def skip_counts(tree: Tree, fields: Fields) -> dict[str, Column]:
 
 
 def matching_with_warnings(records: DataFrame, tree: Tree, fields: Fields | None = None) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
-    """matching(), and what gives skip_counts once the ids were computed: observed in the same scan.
+    """matching(), and what gives its skip_counts: an aggregate of its own, over the keys of numeric predicates alone.
 
-    A predicate whose argument isn't a number may leave nothing to scan; counts then take a scan of their own.
+    It doesn't ride along with the ids: their sort reads its input twice, and what observes it counts twice.
     """
     view = fields or MapFields(F.col("fields"))
     counts = [c.alias(n) for n, c in skip_counts(tree, view).items()]
     if not counts:
         return matching(records, tree, view), dict
-    if any(x.op in NUMERIC and norm_of(x.value) is None for x in leaves(tree)):
-        return matching(records, tree, view), lambda: {n: c or 0 for n, c in records.agg(*counts).first().asDict().items()}
-    seen = Observation()
-    return matching(records.observe(seen, *counts), tree, view), lambda: seen.get
+    return matching(records, tree, view), lambda: {n: c or 0 for n, c in records.agg(*counts).first().asDict().items()}
 
 
 def matching_triples(triples: DataFrame, universe: DataFrame, tree: Tree) -> DataFrame:

@@ -1,12 +1,13 @@
 """A snapshot store of records in a folder of any Hadoop file system.
 
 Layout: base/<version>/ (Parquet sorted by id), wal/<version>/ (pending actions), index/<name>/<version>/, and
-manifest/<version>.json. A version exists once its manifest does; manifests are created exclusively, so of two writers
-with the same base version one fails and looks again: if the versions in between touched other records it goes on
+manifest/<version>.json. A version exists once its manifest does; a manifest is written aside and then renamed, which
+fails if its number is taken, so of two writers with the same base version one fails and looks again: if the versions in between touched other records it goes on
 from the newest, else it raises CommitConflict. Readers use one version throughout and need no lock.
 
-Actions are pending until `threshold` of them are; then a commit writes a new base. Indexes are built once for each
-version. Freshness is a version number, never a clock.
+Actions are pending until `threshold` of them are; then a commit writes a new base. A manifest also names the last batch
+of each stream that its version holds, so a batch is applied and marked in one step. Indexes are built aside and renamed
+too, once for each version. Freshness is a version number, never a clock.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ class Version:
     next_seq: int = 0
     #: The actions that made this version, for conflict checks.
     made_by: str | None = None
+    #: The last batch of each stream of actions that this version holds.
+    batches: dict[str, int] = field(default_factory=dict)
 
 
 class Store:
@@ -68,19 +72,29 @@ class Store:
         found = json.loads(row["value"])
         return Version(**found | {"wal": tuple(found["wal"])})
 
-    def _publish(self, version: Version) -> bool:
-        """Whether this manifest is the first of its number."""
+    def _renamed(self, aside: str, path: str) -> bool:
+        """Whether what was written aside now has its name; if another has it, ours goes."""
+        jvm = self.spark.sparkContext._jvm
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         try:
-            out = self._fs.create(self._path(f"{self.root}/manifest/{version.number}.json"), False)
-        except Exception as e:
-            if "exists" in str(e):
+            files.rename(self._path(aside), self._path(path), options)
+        except Py4JJavaError as e:
+            self._fs.delete(self._path(aside), True)
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()) or self._exists(path):
                 return False
             raise
+        return True
+
+    def _publish(self, version: Version) -> bool:
+        """Whether this manifest is the first of its number."""
+        aside = f"{self.root}/manifest/.{version.number}-{uuid.uuid4().hex}"
+        out = self._fs.create(self._path(aside), False)
         try:
             out.write(bytearray(json.dumps(asdict(version)).encode()))
         finally:
             out.close()
-        return True
+        return self._renamed(aside, f"{self.root}/manifest/{version.number}.json")
 
     def base(self, v: Version) -> DataFrame:
         return self.spark.read.schema(RECORDS).parquet(v.base) if v.base else self.spark.createDataFrame([], RECORDS)
@@ -96,17 +110,28 @@ class Store:
             base, pending = (x.join(only, "uuid", "left_semi") for x in (base, pending))
         return log.replayed_cells(base, pending) if v.wal else base
 
-    def apply(self, wal: DataFrame, compact: bool = False) -> Version:
-        """Validates all actions against the newest version and commits them as one, or raises and changes nothing."""
+    def apply(self, wal: DataFrame, compact: bool = False, batch: tuple[str, int] | None = None) -> Version:
+        """Validates all actions against the newest version and commits them as one, or raises and changes nothing.
+
+        A batch (of a stream, its number) that a version already holds isn't applied again.
+        """
         wal = wal.select("seq", "op", "uuid", "fields").persist()
         try:
-            return self._applied(wal, compact)
+            return self._applied(wal, compact, batch)
         finally:
             wal.unpersist()
 
-    def _applied(self, wal: DataFrame, compact: bool) -> Version:
+    def load(self, base: DataFrame, pending: DataFrame) -> Version:
+        """Adds the records of a database and then its pending actions, as one commit."""
+        adding = base.select(F.lit(0).cast("long").alias("seq"), F.lit("+").alias("op"), "uuid", "fields")
+        return self.apply(adding.unionByName(pending.select((F.col("seq") + 1).alias("seq"), "op", "uuid", "fields")))
+
+    def _applied(self, wal: DataFrame, compact: bool, batch: tuple[str, int] | None) -> Version:
         base, touched = self.version(), wal.select("uuid").distinct()
         while True:
+            if batch and base.batches.get(batch[0], -1) >= batch[1]:
+                return base
+            batches = base.batches | dict([batch] if batch else [])
             now = self.records(base, touched).persist()  # as many records as the actions touch
             try:
                 log.validate(now, wal)
@@ -118,11 +143,11 @@ class Store:
                 return base
             made = f"{self.root}/wal/{number}-{uuid.uuid4().hex}"
             wal.select((F.col("seq") + base.next_seq).alias("seq"), "op", "uuid", "fields").write.parquet(made)
-            after = Version(number, base.base, (*base.wal, made), base.pending + n, base.next_seq + top + 1, made)
+            after = Version(number, base.base, (*base.wal, made), base.pending + n, base.next_seq + top + 1, made, batches)
             if compact or after.pending >= self.threshold:
                 folder = f"{made.replace('/wal/', '/base/')}"
                 self.records(after).orderBy("uuid").write.parquet(folder)
-                after = Version(number, folder, (), 0, 0, made)
+                after = Version(number, folder, (), 0, 0, made, batches)
             if self._publish(after):
                 return after
             base = self._rebased(base, wal)
@@ -142,6 +167,8 @@ class Store:
         """An index of the newest version, built unless it is there already."""
         v = self.version()
         folder = f"{self.root}/index/{name}/{v.number}"
-        if not self._exists(f"{folder}/_SUCCESS"):
-            INDEXES[name](index.pairs_of(self.records(v))).write.mode("overwrite").parquet(folder)
+        if not self._exists(folder):
+            aside = f"{self.root}/index/{name}/.{v.number}-{uuid.uuid4().hex}"
+            INDEXES[name](index.pairs_of(self.records(v))).write.parquet(aside)
+            self._renamed(aside, folder)
         return self.spark.read.parquet(folder)

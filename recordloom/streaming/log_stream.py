@@ -18,16 +18,12 @@ def action_rows(spark: SparkSession, path: str) -> DataFrame:
 def applied(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
     """Commits each micro-batch as one version, exactly once.
 
-    A batch's number is kept with the records, in a version file, so a batch that is replayed after a failure is
-    recognised. Within a batch, actions go by seq.
+    The manifest of the version that a batch makes holds the batch's number, under the name of the checkpoint, so a
+    batch that is replayed after a failure is recognised. Within a batch, actions go by seq.
     """
-    marks = f"{store.root}/batches"
 
     def commit(batch: DataFrame, number: int) -> None:
-        done = store._exists(f"{marks}/{number}")
-        if not done:
-            store.apply(batch.select("seq", "op", "uuid", "fields"))
-            store._fs.mkdirs(store._path(f"{marks}/{number}"))
+        store.apply(batch.select("seq", "op", "uuid", "fields"), batch=(checkpoint.rstrip("/"), number))
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

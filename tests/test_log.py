@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from recordloom.errors import DuplicateId, EmptyRecord, MissingId
@@ -126,3 +127,18 @@ def test_output(spark):
     assert lines[0] == f'{{"_uuid":"{B}","_missing":true}}' and lines[1] == lines[2]
     assert lines[1] == f'{{"_uuid":"{A}","a=b":"x\\ty","ok":true,"r":["1","q\\"q"],"t":"20262903143022","z":1}}'
     assert [r.uuid for r in fetch.shown(records, wanted).collect()] == [A]
+
+
+def test_a_patch_that_empties_a_record_raises(spark):
+    base = spark.createDataFrame([(A, {"a": "1"}), (B, {"b": "1"})], RECORDS)
+    rows = spark.createDataFrame([(A, {"a": GONE})], RECORDS)
+    with pytest.raises(PySparkException, match="no fields"):
+        log.patch(base, rows).collect()
+    assert as_dict(log.patch(base, spark.createDataFrame([(A, {"a": GONE, "c": "2"}), (IDS[5], {"x": "1"})], RECORDS))) == {A: {"c": "2"}, B: {"b": "1"}}
+
+
+def test_chunks_of_a_profile(spark):
+    pairs = spark.createDataFrame([(u, "k", str(i)) for i, u in enumerate(IDS)], "uuid string, key string, value string")
+    whole, parts = index.profile(pairs).collect(), index.profile(pairs, chunks=4).collect()
+    assert len(whole) == 1 and whole[0]["count"] == 60 and whole[0].uuids == ",".join(IDS)
+    assert len(parts) > 1 and sorted(u for r in parts for u in r.uuids.split(",")) == IDS and all(r["count"] == len(r.uuids.split(",")) for r in parts)

@@ -1,10 +1,13 @@
 import glob
+import io
 import sys
 
 import pytest
 
+from pyspark.errors import PySparkException
+
 from recordloom import cli
-from recordloom.errors import CommitConflict, DuplicateId, InvalidId, ParseError
+from recordloom.errors import CommitConflict, DuplicateId, InvalidId, MissingId, ParseError
 from recordloom.operators.store import Store
 from recordloom.sources import export, text
 from recordloom.sources.text import ACTIONS
@@ -50,6 +53,33 @@ def test_indexes_are_built_once(spark, tmp_path):
     assert store.index("numeric").count() == 2 and {store.index(x).count() for x in ("packed", "exploded", "universe")} == {2} and store.index("profile").first()["count"] == 2
 
 
+def test_a_commit_is_whole_or_absent(spark, tmp_path, monkeypatch):
+    """A writer that dies before its manifest has its name leaves no version, and no reader sees a part of one."""
+    store = Store(spark, str(tmp_path / "s"))
+    v1 = store.apply(actions(spark, [(0, "+", A, {"n": "1"})]))
+    with monkeypatch.context() as m:
+        m.setattr(store, "_renamed", lambda aside, path: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            store.apply(actions(spark, [(0, "~", A, {"n": "2"})]))
+    assert store.version() == v1 and records(store.records()) == {A: {"n": "1"}}
+    (tmp_path / "s" / "manifest" / ".2-cut").write_text("{")
+    assert store.apply(actions(spark, [(0, "~", A, {"n": "3"})])).number == 2 and records(store.records()) == {A: {"n": "3"}}
+    (tmp_path / "aside").write_text("x")
+    assert not store._renamed(str(tmp_path / "aside"), f"{tmp_path}/s/manifest/2.json") and not (tmp_path / "aside").exists()
+    assert records(store.records()) == {A: {"n": "3"}}
+
+
+def test_an_import_is_one_commit(spark, tmp_path):
+    store, path = Store(spark, str(tmp_path / "s")), tmp_path / "d.txt"
+    path.write_text(f"{A}\tn=1\n\n~{A}\tm=2\n+{B}\tn=3\n-{C}\n")
+    with pytest.raises(MissingId):
+        store.load(*text.read_database(spark, str(path)))
+    assert store.versions() == []
+    path.write_text(f"{A}\tn=1\n\n~{A}\tm=2\n+{B}\tn=3\n")
+    assert store.load(*text.read_database(spark, str(path))).number == 1
+    assert records(store.records()) == {A: {"n": "1", "m": "2"}, B: {"n": "3"}}
+
+
 def test_concurrent_commits(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "s")
     Store(spark, root).apply(actions(spark, [(0, "+", A, {"n": "1"}), (1, "+", B, {"n": "1"})]))
@@ -93,7 +123,7 @@ def test_bad_action_lines(spark, tmp_path, line):
 
 
 def test_database_files(spark, tmp_path):
-    path = tmp_path / "d.dov"
+    path = tmp_path / "d.txt"
     path.write_text(f'{A}\tname=Alice\trole=["a","b"]   \n{B}\tname=B\r\n\n~{A}\tage=3\n# 20262903143022\n', newline="")
     base, pending = text.read_database(spark, str(path))
     assert records(base) == {A: {"name": "Alice", "role": '["a","b"]'}, B: {"name": "B"}}
@@ -120,6 +150,16 @@ def test_id_lists(spark, tmp_path):
             text.read_ids(spark, str(path))
     with pytest.raises(InvalidId):
         text.ids_of(spark, ["nope"])
+    assert [r.uuid for r in text.ids_in(spark, f"# ids\n{B}\n\n{A}\n{B}".encode()).orderBy("pos").collect()] == [B, A, B]
+    for bad in (f"{A}\r\n".encode(), b"\xef\xbb\xbf" + A.encode(), f"{A} {B}".encode(), b"\xff\xfe"):
+        with pytest.raises(ParseError):
+            text.ids_in(spark, bad)
+
+
+def test_text_that_is_not_utf8_is_an_error(spark, tmp_path):
+    (tmp_path / "d.txt").write_bytes(f"{A}\tn=caf".encode() + b"\xe9\n")
+    with pytest.raises(PySparkException, match="not UTF-8"):
+        text.read_database(spark, str(tmp_path / "d.txt"))
 
 
 def test_index_files(spark, tmp_path):
@@ -145,12 +185,17 @@ def test_streamed_actions(spark, tmp_path):
     actions(spark, [(0, "~", A, {"m": "2"}), (1, "!", B, {"k": "v"})]).write.mode("append").parquet(source)
     run()
     assert records(store.records()) == {A: {"n": "1", "m": "2"}, B: {"k": "v"}} and store.version().number == 2
+    # The stream died after its commit and before it noted that: the last batch comes again, and isn't applied again.
+    (tmp_path / "c" / "commits" / "1").unlink()
+    (tmp_path / "c" / "commits" / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert store.version().number == 2 and store.version().batches == {str(tmp_path / "c"): 1}
     counted = log_stream.live_counts(log_stream.action_rows(spark, source)).writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start()
     counted.awaitTermination()
     assert {r.op: r.n for r in spark.sql("SELECT op, sum(n) AS n FROM live GROUP BY op").collect()} == {"+": 1, "~": 1, "!": 1}
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     root, file = str(tmp_path / "s"), tmp_path / "f"
     run = lambda *a: (cli.main(list(a)), capsys.readouterr())
     file.write_text(f"+{A}\tname=Alice\tage=30\n+{B}\tname=Bob\tage=old\n")
@@ -166,6 +211,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("--query", str(file), root, "--show", str(tmp_path / "out"))[0] == 0 and lines_in(tmp_path / "out")[0] == f"{B}\tage=old\tname=Bob"
     file.write_text(f"{C}\n{A}\n")
     assert run("--records", str(file), root)[1].out.split("\n")[:2] == [f'{{"_uuid":"{C}","_missing":true}}', f'{{"_uuid":"{A}","age":30,"name":"Alice"}}']
+    monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(f"# a comment\n\n{A}\n".encode())))
+    assert run("--records", "-", root)[1].out == f'{{"_uuid":"{A}","age":30,"name":"Alice"}}\n'
     assert run("--compact", root)[0] == 0 and run("--relate", root)[0] == 0 and run("--plane", root)[0] == 0
     assert run("--export", root, str(tmp_path / "e"))[0] == 0
     (dump,) = glob.glob(f"{tmp_path}/e/part-*")
