@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import codec, ids
-from recordloom.operators import fetch, index, log, predicates
+from recordloom.operators import fetch, index, log, predicates, store
 from recordloom.operators.predicates import WideFields
 from recordloom.plans.criteria import parse_filter, parse_lookup
-from recordloom.sources import tables
+from recordloom.sources import export, tables, text
+from recordloom.streaming import log_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -164,6 +167,15 @@ def filter_skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unpivot([], list(counts), "predicate", "skipped")
 
 
+@query(f"""WITH {EVENTS}, hit AS (SELECT count(*) AS n FROM e WHERE len(list_filter({SQL_ELEMENTS}, lambda x: {sql_number('x')} > 100)) > 0 AND CAST("user" AS DECIMAL(38,6)) < 500)
+ SELECT 'ngt mixed 100' AS predicate, count(*) AS skipped, (SELECT n FROM hit) AS matched FROM e WHERE len(list_filter({SQL_ELEMENTS}, lambda x: {sql_number('x')} IS NOT NULL)) = 0 UNION ALL SELECT 'nlt user 500', 0, (SELECT n FROM hit)""")
+def filter_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line prints: matches of a filter and, for each numeric predicate, the records without a number."""
+    found, warnings = predicates.matching_with_warnings(tables.records(tables.events(spark, sf_dir)), parse_filter("ngt\tmixed\t100\nnlt\tuser\t500"))
+    n = found.count()
+    return spark.createDataFrame([(name, skipped, n) for name, skipped in warnings().items()], "predicate string, skipped long, matched long")
+
+
 @query(f"""WITH {ORDERS} SELECT uuid FROM (SELECT uuid FROM o WHERE status = 'F' UNION SELECT uuid FROM o WHERE priority IS NULL)
  EXCEPT SELECT uuid FROM o WHERE starts_with(date, '1995')""")
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,19 +310,9 @@ def escape_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("uuid", F.md5("escaped").alias("escaped"), F.md5(codec.unescape(F.col("escaped"))).alias("back"))
 
 
-@query("""WITH i AS (SELECT doc_id, string_split(substr(text, 1, 200), ' ') AS items FROM documents)
- SELECT doc_id, '[' || array_to_string(list_transform(items, lambda x: '"' || replace(replace(x, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"'), ',') || ']' AS packed, CAST(len(items) AS INTEGER) AS n, array_to_string(items, '|') AS back FROM i""")
-def array_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = tables.read(spark, sf_dir, "documents").select("doc_id", F.split(F.substring("text", 1, 200), " ", -1).alias("items"))
-    coded = items.select("doc_id", codec.encode_array(F.col("items")).alias("packed"))
-    back = codec.decode_array(F.col("packed"))
-    return coded.select("doc_id", "packed", F.size(back).alias("n"), F.array_join(back, "|").alias("back"))
-
-
 @query("""WITH i AS (SELECT doc_id, string_split(text, ' ') AS items FROM documents)
  SELECT doc_id, md5('[' || array_to_string(list_transform(items, lambda x: '"' || replace(replace(x, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"'), ',') || ']') AS packed, CAST(len(items) AS INTEGER) AS n, md5(array_to_string(items, '|')) AS back FROM i""")
-def array_codec_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """array_codec over whole texts."""
+def array_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = tables.read(spark, sf_dir, "documents").select("doc_id", F.split("text", " ", -1).alias("items"))
     coded = items.select("doc_id", codec.encode_array(F.col("items")).alias("packed"))
     back = codec.decode_array(F.col("packed"))
@@ -407,9 +409,27 @@ def validate_first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.first_error(base_orders(spark, sf_dir), actions(spark, sf_dir))
 
 
-@query(f"{EXISTENCE} SELECT seq, uuid, code FROM bad WHERE code IS NOT NULL")
+#: Orders that only have a status, and a log in which every third patch removes it; every fifth order has a second action.
+EMPTYING = f"""WITH {ORDERS}, n AS (SELECT o_orderkey AS k, {sql_id("O", "o_orderkey")} AS uuid FROM orders),
+ w AS (SELECT k AS seq, uuid, k % 3 = 0 AS empties, k % 7 = 0 AS upsert FROM n UNION ALL SELECT k + 1000000000, uuid, true, false FROM n WHERE k % 5 = 0)"""
+
+
+@query(f"{EXISTENCE}, x2 AS (SELECT seq, uuid, code FROM bad WHERE code IS NOT NULL) SELECT seq, uuid, code FROM x2")
 def validate_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.errors(base_orders(spark, sf_dir), actions(spark, sf_dir)).where("code <> 'empty'")
+    """Every error of the log; none of its actions empties a record, as views follow clicks and write `last`."""
+    return log.errors(base_orders(spark, sf_dir), actions(spark, sf_dir))
+
+
+@query(f"{EMPTYING}, e AS (SELECT uuid, seq FROM w WHERE upsert OR empties) SELECT min(seq) AS seq, uuid, 'empty' AS code FROM e GROUP BY uuid")
+def validate_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions that leave a record without fields: upserts without any, and patches that remove the only one."""
+    k = F.col("o_orderkey")
+    rows = tables.read(spark, sf_dir, "orders").select(k, ids.numbered("O", k).alias("uuid"))
+    base = rows.select("uuid", F.create_map(F.lit("status"), F.lit("x")).alias("fields"))
+    gone, kept, none = F.create_map(F.lit("status"), F.lit(codec.TOMBSTONE)), F.create_map(F.lit("status"), F.lit("y")), F.create_map().cast("map<string,string>")
+    first = rows.select(k.alias("seq"), F.when(k % 7 == 0, "!").otherwise("~").alias("op"), "uuid", F.when(k % 7 == 0, none).when(k % 3 == 0, gone).otherwise(kept).alias("fields"))
+    again = rows.where(k % 5 == 0).select((k + 1000000000).alias("seq"), F.lit("~").alias("op"), "uuid", gone.alias("fields"))
+    return log.errors(base, first.unionByName(again))
 
 
 @query(f"WITH {ORDERS} SELECT DISTINCT {sql_id('O', 'user_id')} AS uuid FROM events WHERE {sql_id('O', 'user_id')} IN (SELECT uuid FROM o)")
@@ -446,16 +466,10 @@ SQL_MIXED = f"CASE ({SQL_CLASS.replace('value', 'mixed')}) WHEN 'number' THEN mi
 JSON = f"""'{{"_uuid":"' || uuid || '","mixed":' || {SQL_MIXED} || ',"type":"' || type || '","user":' || "user" || {SQL_JSON} || '}}'"""
 
 
-@query(f"WITH {EVENTS}, i AS (SELECT event_id AS pos, {sql_id('E', '(event_id * 7) % 1000')} AS uuid FROM events) SELECT pos, {JSON} AS json FROM i JOIN e USING (uuid)")
-def records_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = tables.read(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), ids.numbered("E", (F.col("event_id") * 7) % 1000).alias("uuid"))
-    return fetch.json_rows(tables.records(tables.events(spark, sf_dir)), wanted)
-
-
 @query(f"""WITH {EVENTS}, i AS (SELECT event_id * 2 AS pos, {sql_id('E', 'event_id')} AS uuid FROM events UNION ALL SELECT event_id * 2 + 1, {sql_id('E', 'event_id')} FROM events WHERE event_id % 10 = 0)
  SELECT pos, {JSON} AS json FROM i JOIN e USING (uuid)""")
-def records_jsonl_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """records_jsonl of every event, and of each tenth twice."""
+def records_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of every event, and of each tenth twice."""
     rows = tables.read(spark, sf_dir, "events").select("event_id", ids.numbered("E", F.col("event_id")).alias("uuid"))
     again = rows.where("event_id % 10 = 0").select((F.col("event_id") * 2 + 1).alias("pos"), "uuid")
     return fetch.json_rows(tables.records(tables.events(spark, sf_dir)), rows.select((F.col("event_id") * 2).alias("pos"), "uuid").union(again))
@@ -473,6 +487,87 @@ def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "documents").select("doc_id", codec.json_string(F.col("text")).alias("quoted"))
 
 
+# --- files: written, read back, and compared with what they were made of -----------------------------------------------
+
+def folder(spark: SparkSession) -> str:
+    """A new folder where the cluster shares files; a session in one process may use a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{shared or tempfile.mkdtemp(prefix='recordloom-')}/files-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {CUSTOMERS} SELECT uuid, {sql_line(RECORDS['customers'][3])} AS line FROM c")
+def file_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark)
+    export.write_database(tables.records(tables.customers(spark, sf_dir)), spark.createDataFrame([], text.ACTIONS), path)
+    return fetch.serialized(text.read_database(spark, path)[0])
+
+
+SQL_ACTION = f"""{sql_id("O", "event_id")} AS uuid, 'n=' || event_id || chr(9) || 'type=' || {SQL_ESCAPED.format("chr(9) || event_type")} AS fields"""
+
+
+@query(f"SELECT event_id + 2 AS seq, '~' AS op, {SQL_ACTION} FROM events")
+def file_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending actions of a database without records: they follow a blank line, and count lines from there."""
+    path, n = folder(spark), F.col("event_id")
+    fields = F.create_map(F.lit("n"), n.cast("string"), F.lit("type"), F.concat(F.lit("\t"), "event_type"))
+    rows = tables.read(spark, sf_dir, "events").select(n.alias("seq"), F.lit("~").alias("op"), ids.numbered("O", n).alias("uuid"), fields.alias("fields"))
+    export.write_database(spark.createDataFrame([], text.RECORDS), rows, path)
+    found = text.read_database(spark, path)[1]
+    return found.select("seq", "op", "uuid").join(_lines(found), "uuid")
+
+
+@query(f"SELECT event_id + 1 AS seq, CASE event_id % 3 WHEN 0 THEN '+' WHEN 1 THEN '~' ELSE '!' END AS op, {SQL_ACTION} FROM events")
+def file_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An action log, its lines in order of the events."""
+    path, n = folder(spark), F.col("event_id")
+    op = F.when(n % 3 == 0, "+").when(n % 3 == 1, "~").otherwise("!")
+    value = F.concat(op, ids.numbered("O", n), F.lit("\tn="), n.cast("string"), F.lit("\ttype="), codec.escape(F.concat(F.lit("\t"), "event_type")))
+    tables.read(spark, sf_dir, "events").select(n, value.alias("value")).repartition(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    found = text.read_actions(spark, path)
+    return found.select("seq", "op", "uuid").join(_lines(found), "uuid")
+
+
+def index_file(name: str, sql: str, made: Callable[[SparkSession, str], DataFrame], read: Callable[[SparkSession, str], DataFrame]) -> None:
+    """Registers a query that writes an index to a file, reads it back and gives its rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, rows = folder(spark), made(spark, sf_dir)
+        export.write_rows(rows, path)
+        found = read(spark, path)
+        return found.select(*[F.array_join(c, ",").alias(c) if kind == "array<string>" else c for c, kind in found.dtypes])
+
+    _QUERIES[name], _SQL[name] = run, sql
+
+
+index_file("file_packed", _SQL["relate_kv"], relate_kv, text.read_packed_index)
+index_file("file_exploded", _SQL["plane_kv"], plane_kv, text.read_exploded_index)
+index_file("file_numeric", _SQL["plane_ord"], plane_ord, text.read_numeric_index)
+index_file("file_profile", _SQL["kt_profile"], kt_profile, text.read_profile)
+index_file("file_universe", _SQL["relate_uuid"], relate_uuid, text.read_universe)
+
+
+@query(f"SELECT event_id + 1 AS pos, {sql_id('E', 'event_id // 2')} AS uuid FROM events")
+def file_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An id list; every id is listed twice."""
+    path, n = folder(spark), F.col("event_id")
+    rows = tables.read(spark, sf_dir, "events").select(n.alias("pos"), ids.numbered("E", F.floor(n / 2)).alias("uuid"))
+    export.write_lines(rows, "uuid", "pos", path, stamp=False)
+    return text.read_ids(spark, path)
+
+
+@query(f"""WITH l AS (SELECT user_id, max(event_id) AS n FROM events GROUP BY user_id) SELECT {sql_id("O", "user_id")} AS uuid, 'n=' || n AS fields FROM l""")
+def store_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of actions committed to a store batch by batch: the last upsert of each record is what it holds."""
+    path, n = folder(spark), F.col("event_id")
+    rows = tables.read(spark, sf_dir, "events").select(n.alias("seq"), F.lit("!").alias("op"), ids.numbered("O", F.col("user_id")).alias("uuid"), F.create_map(F.lit("n"), n.cast("string")).alias("fields"))
+    rows.write.parquet(f"{path}/in")
+    held = store.Store(spark, f"{path}/store")
+    log_stream.applied(log_stream.action_rows(spark, f"{path}/in"), held, f"{path}/checkpoint").awaitTermination()
+    return _lines(held.records())
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -1,3 +1,4 @@
+import hashlib
 import os
 from collections import Counter
 
@@ -28,3 +29,18 @@ def test_query_matches_sql(spark, tiny, con, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_array_codec_takes_whole_texts(spark, tmp_path):
+    texts = ["w " * 150 + 'a "quoted" back\\\\slash\x07 end', "x " * 20000 + '"', "", " "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def md5(x):
+        return hashlib.md5(x.encode()).hexdigest()
+
+    want = set()
+    for i, t in enumerate(texts):
+        items = t.split(" ")
+        packed = "[" + ",".join('"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"' for x in items) + "]"
+        want.add((i, md5(packed), len(items), md5("|".join(items))))
+    assert {tuple(r) for r in queries.queries()["array_codec"](spark, str(tmp_path)).collect()} == want
