@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from recordloom.llm.common import durable, prepared, row_keyed, table
 
 #: Candidate rows and query rows of a block; a dense score array has as many cells (4 or 8 bytes each).
-ROWS, QUERIES = 2048, 512
+ROWS, QUERIES, TILE = 2048, 512, 32
 #: Query blocks that are broadcast at most.
 BROADCAST_BLOCKS = 32
 #: Weights beyond this are counted with whole numbers of any size. Below, 4096 products fit 62 bits.
@@ -94,14 +94,23 @@ def accumulated(block: Block, asks: Block) -> np.ndarray:
         block.big[:], asks.big[:] = True, True
         block.exact, asks.exact = ({r: x.exact.get(r) or x.matrix[r].tolist() for r in range(len(x.ids))} for x in (block, asks))
     scores, queries = np.zeros((len(asks.ids), len(block.ids)), kind), asks.matrix.astype(kind)
-    for term, rows, weights in block.postings():
-        if term >= asks.width:
-            break
-        wanted = np.flatnonzero(queries[:, term])
-        if len(wanted) == len(queries) and len(rows) == len(block.ids):
-            scores += queries[:, term, None] * weights.astype(kind)
-        elif len(wanted):
-            scores[np.ix_(wanted, rows)] += queries[wanted, term, None] * weights.astype(kind)
+    posted = [(term, rows, weights.astype(kind)) for term, rows, weights in block.postings() if term < asks.width]
+    for low in range(0, len(queries), TILE):  # so many queries that their scores stay in the processor's cache
+        part = scores[low : low + TILE]
+        for term, rows, weights in posted:
+            wanted = np.flatnonzero(queries[low : low + TILE, term])
+            if not len(wanted):
+                continue
+            some = queries[low + wanted, term, None]
+            if 2 * len(rows) > len(block.ids):  # few weights are 0: add to whole rows
+                full = np.zeros(len(block.ids), kind)
+                full[rows] = weights
+                if len(wanted) == len(part):
+                    part += some * full
+                else:
+                    part[wanted] += some * full
+            else:
+                part[np.ix_(wanted, rows)] += some * weights
     if block.big.any() or asks.big.any():
         scores = scores.astype(np.int64)
         for q, r in zip(*np.nonzero(asks.big[:, None] | block.big), strict=True):
@@ -113,7 +122,6 @@ def accumulated(block: Block, asks: Block) -> np.ndarray:
 def best(scores: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
     """For each query, columns of the k highest scores that are allowed (ties to the smaller column), then others."""
     n = scores.shape[1]
-    first = np.argsort(~allowed, axis=1, kind="stable")[:, :k]
     if n <= k:
         order = np.lexsort((np.broadcast_to(np.arange(n), scores.shape), -scores, ~allowed), axis=1)
         return order[:, :k]
@@ -121,6 +129,7 @@ def best(scores: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
         rank = np.where(allowed, scores.astype(np.int64) * n + (n - 1 - np.arange(n)), np.iinfo(np.int64).min)
         top = np.argpartition(rank, n - k, axis=1)[:, n - k :]
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(rank, top, axis=1), axis=1), axis=1)
+    first = np.argsort(~allowed, axis=1, kind="stable")[:, :k]
     for q in range(len(scores)):
         pool = np.flatnonzero(allowed[q])
         found = pool[np.lexsort((pool, -scores[q, pool]))[:k]]
