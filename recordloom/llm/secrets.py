@@ -28,7 +28,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import blocks, keyed_texts, prepared, table, text_or_empty
@@ -378,8 +378,8 @@ def train(df: DataFrame, text_col: str = "text", train_windows: int = TRAIN_WIND
     half = train_windows // 2
     texts = prepared(df.select(text_or_empty(text_col).alias("text")))
     found = texts.mapInArrow(sampler(half), "has boolean, h long, text string, spans array<int>").groupBy("has", "h").agg(F.any_value(F.struct("text", "spans")).alias("w"))
-    rank = F.row_number().over(Window.partitionBy("has").orderBy("h"))
-    rows = found.withColumn("rank", rank).where(F.col("rank") <= half).select("h", "w.*").orderBy("h").collect()
+    chosen = found.where("has").orderBy("h").limit(half).union(found.where("NOT has").orderBy("h").limit(half))
+    rows = sorted(chosen.select("h", "w.*").collect(), key=lambda r: r["h"])
     plain = [(r["text"], list(zip(r["spans"][::2], r["spans"][1::2], strict=True))) for r in rows]
     return fitted(sorted(plain + guises(plain, [r["h"] for r in rows], half)))
 
