@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bpe, exact_dedup, langid, packing, pii, secrets, sharding, simhash, token_counts, topk
+from recordloom.llm import bpe, contracts, exact_dedup, langid, packing, pii, secrets, sharding, simhash, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +24,8 @@ def queries() -> dict[str, Query]:
         bpe.op9_bpe_round_trip,
         token_counts.op10_pre_token_counts,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | contracts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": topk.ORACLE, "op5_golomb_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_exact_top_k": topk.ORACLE, "op5_golomb_exact_dedup": exact_dedup.ORACLE} | contracts.SQL

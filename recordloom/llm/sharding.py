@@ -7,8 +7,9 @@ where a row number lies, or which row number lies in a slot, without the table.
 The permutation is an unbalanced Feistel network over a grid of a x b cells, the smallest near-square grid that has n
 cells. Its few surplus cells are left by cycle walking: a number that lands on one is permuted again.
 
-Only narrow rows (id, size, checksum) are sorted; texts never move. The sort is by range, so equal ids or equal texts
-spread over partitions as any other rows do. The one broadcast holds a row for each partition.
+Only narrow rows (id, size, checksum) are sorted; texts never move. The sort is by range, and rows that are equal in all
+three, which are interchangeable, go by where they were read, so that however many there are, they spread over
+partitions as any other rows do. The one broadcast holds a row for each partition.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def shard(df: DataFrame, shards: int = 40, key: int = 20240229, id_col: str = "d
     """
     text = text_or_empty(text_col)
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed, n = numbered(rows, ["doc_id", "text_crc32", "size"])
+    placed, n = numbered(rows.withColumn("read", F.monotonically_increasing_id()), ["doc_id", "text_crc32", "size", "read"])
     at = placed.withColumn("place", permuted(F.col("row"), n, key))
     return at.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("place") % shards).cast("int").alias("shard"), ((F.col("place") - F.col("place") % shards) / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
