@@ -36,7 +36,9 @@ def _out(df: DataFrame, column: str) -> None:
         print(row[column])
 
 
-def _matched(store: Store, tree: Tree, show: list[str]) -> None:
+def _matched(store: Store, tree: Tree, criteria: str, show: list[str]) -> None:
+    if len(show) == 2 and show[1] != "-" and store.holds(show[1], criteria):
+        return  # written for these criteria and this version already
     records = store.records()
     found, warnings = predicates.matching_with_warnings(records, tree)
     if not show:
@@ -47,6 +49,7 @@ def _matched(store: Store, tree: Tree, show: list[str]) -> None:
             _out(shown, "line")
         else:
             export.write_lines(shown, "line", "uuid", show[1], stamp=True)
+            store.note(show[1], criteria)
     for name, n in warnings().items():
         if n:
             print(f"warning: {name}: {n} records without a number", file=sys.stderr)
@@ -84,8 +87,9 @@ def main(args: list[str]) -> int:
             for name in ("packed", "universe") if flag == "--relate" else ("exploded", "numeric", "profile", "universe"):
                 store.index(name)
         elif flag in ("--query", "--filter"):
-            criteria = spark.read.text(rest[0], wholetext=True).first()
-            _matched(store, (parse_lookup if flag == "--query" else parse_filter)(criteria["value"] if criteria else ""), show)
+            row = spark.read.text(rest[0], wholetext=True).first()
+            criteria = row["value"] if row else ""
+            _matched(store, (parse_lookup if flag == "--query" else parse_filter)(criteria), f"{flag}\n{criteria}", show)
         else:
             ids = text.ids_in(spark, sys.stdin.buffer.read()) if rest[0] == "-" else text.read_ids(spark, rest[0])
             _out(fetch.json_rows(store.records(), ids), "json")

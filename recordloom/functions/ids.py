@@ -7,6 +7,8 @@ them to sort by time.
 from __future__ import annotations
 
 import re
+import string
+from itertools import permutations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,3 +65,25 @@ def decode(c: Column) -> Column:
 
 def ordinal(c: Column) -> Column:
     return F.when(is_valid(c), value(BASE62, c, 11) * 62 + value(BASE62, c, 12))
+
+
+#: The plain time stamps A to F: all orders of three groups of digits, each a letter, century, year, and five more digits.
+STAMPS = {name: "".join(groups) for name, groups in zip("ABCDEF", permutations((string.digits, string.ascii_lowercase, string.ascii_uppercase)), strict=True)}
+
+
+def stamp(name: str, at: Column) -> Column:
+    """Time stamp of a format (A to F) for a time (TIMESTAMP_NTZ): the format's letter and eight more characters."""
+    alphabet, year = STAMPS[name], F.year(at)
+    places = [F.floor(year / 100), F.month(at), F.dayofmonth(at), F.hour(at), F.minute(at), F.second(at)]
+    century, *rest = [digit(alphabet, p) for p in places]
+    return F.concat(F.lit(name), century, F.lpad((year % 100).cast("string"), 2, "0"), *rest)
+
+
+def stamped(c: Column) -> Column:
+    """Time of a stamp of any format as TIMESTAMP_NTZ; null for other texts and impossible dates."""
+    out = F.lit(None).cast("timestamp_ntz")
+    for name, alphabet in STAMPS.items():
+        century, month, day, hour, minute, second = (value(alphabet, c, i) for i in (2, 5, 6, 7, 8, 9))
+        at = F.try_make_timestamp_ntz(century * 100 + F.substring(c, 3, 2).try_cast("int"), month, day, hour, minute, second.cast("decimal(8,6)"))
+        out = F.when(c.rlike(rf"^{name}[0-9A-Za-z][0-9]{{2}}[0-9A-Za-z]{{5}}\z"), at).otherwise(out)
+    return out

@@ -12,6 +12,7 @@ too, once for each version. Freshness is a version number, never a clock.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -163,6 +164,28 @@ class Store:
     def compact(self) -> Version:
         return self.apply(self.spark.createDataFrame([], ACTIONS), compact=True)
 
+    def holds(self, folder: str, criteria: str) -> bool:
+        """Whether a folder holds what criteria gave for the newest version, as noted by note()."""
+        path = f"{folder}/_of"
+        if not self._exists(path):
+            return False
+        read = self._fs.open(self._path(path))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(read, "UTF-8") == self._mark(criteria)
+        finally:
+            read.close()
+
+    def note(self, folder: str, criteria: str) -> None:
+        """Notes in a folder, once it is written, what its output is of."""
+        out = self._fs.create(self._path(f"{folder}/_of"), True)
+        try:
+            out.write(bytearray(self._mark(criteria).encode()))
+        finally:
+            out.close()
+
+    def _mark(self, criteria: str) -> str:
+        return f"{self.root} {self.version().number} {hashlib.sha256(criteria.encode()).hexdigest()}"
+
     def index(self, name: str) -> DataFrame:
         """An index of the newest version, built unless it is there already."""
         v = self.version()

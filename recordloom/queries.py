@@ -301,6 +301,22 @@ def uuid_chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("day", "least", "most", F.col("from_hour").cast("timestamp_ntz").alias("from_hour"))
 
 
+def sql_stamp(name: str) -> str:
+    def at(i: str) -> str:
+        return f"substr('{ids.STAMPS[name]}', CAST({i} + 1 AS INT), 1)"
+
+    return " || ".join([f"'{name}'", at("year(ts) // 100"), "lpad(CAST(year(ts) % 100 AS VARCHAR), 2, '0')", *(at(f"{part}(ts)") for part in ("month", "day", "hour", "minute", "second"))])
+
+
+@query(f"SELECT event_id, {', '.join(f'{sql_stamp(n)} AS {n.lower()}' for n in ids.STAMPS)}, strftime(ts, '%Y-%m-%d %H:%M:%S') AS back, 1 AS times FROM events")
+def time_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's time in the six plain formats, and the one time that all of them decode to."""
+    at = F.col("ts").cast("timestamp_ntz")
+    made = tables.read(spark, sf_dir, "events").select("event_id", *[ids.stamp(n, at).alias(n.lower()) for n in ids.STAMPS])
+    back = F.array_distinct(F.array(*[ids.stamped(F.col(n.lower())) for n in ids.STAMPS]))
+    return made.select("*", F.date_format(back[0], "yyyy-MM-dd HH:mm:ss").alias("back"), F.size(back).alias("times"))
+
+
 SQL_ESCAPED = "replace(replace(replace(replace(replace({}, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 'x09'), chr(10), chr(92) || 'x0A'), chr(13), chr(92) || 'x0D'), '=', chr(92) || 'x3D')"
 
 

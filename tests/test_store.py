@@ -209,6 +209,10 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert run("--query", str(file), root)[1].out.split() == [B]
     assert run("--query", str(file), root, "--show")[1].out == f"{B}\tage=old\tname=Bob\n"
     assert run("--query", str(file), root, "--show", str(tmp_path / "out"))[0] == 0 and lines_in(tmp_path / "out")[0] == f"{B}\tage=old\tname=Bob"
+    first = glob.glob(f"{tmp_path}/out/part-*")
+    assert run("--query", str(file), root, "--show", str(tmp_path / "out"))[0] == 0 and glob.glob(f"{tmp_path}/out/part-*") == first
+    file.write_text("Alice\n")
+    assert run("--query", str(file), root, "--show", str(tmp_path / "out"))[0] == 0 and lines_in(tmp_path / "out")[0].startswith(A)
     file.write_text(f"{C}\n{A}\n")
     assert run("--records", str(file), root)[1].out.split("\n")[:2] == [f'{{"_uuid":"{C}","_missing":true}}', f'{{"_uuid":"{A}","age":30,"name":"Alice"}}']
     monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(f"# a comment\n\n{A}\n".encode())))
