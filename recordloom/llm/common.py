@@ -56,18 +56,23 @@ def durable(df: DataFrame) -> DataFrame:
     """The rows written to the cluster's checkpoint folder, so that neither lost executors nor later uses recompute them.
 
     Spark removes the files once nothing refers to them if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+
+    A checkpoint keeps its plan's estimated size, which for a join is the product of both sides: over the rounds of a
+    loop that grows to numbers of megabytes each in the driver. So the rows go into a table that has no estimate.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
-#: Narrow rows (some ten to a hundred bytes each) that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 18
+#: Narrow rows (some ten to a hundred bytes each) that are broadcast at most, and keys of rows that go; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_KEYS = 1 << 14, 1 << 18
 
 
-def beside(df: DataFrame) -> DataFrame:
+def beside(df: DataFrame, most: int | None = None) -> DataFrame:
     """A durable table as the side of a join: broadcast if it has few rows; else plain, so that Spark may split hot keys."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -101,7 +106,7 @@ def row_keyed(df: DataFrame) -> tuple[DataFrame, str]:
 
 def without_rows(keyed: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     """The rows of keyed but those of the keys dropped (its one column), without the key."""
-    return keyed.join(beside(durable(dropped.toDF(key))), key, "left_anti").drop(key)
+    return keyed.join(beside(durable(dropped.toDF(key)), BROADCAST_KEYS), key, "left_anti").drop(key)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
