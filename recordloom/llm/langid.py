@@ -26,6 +26,8 @@ TRAIN_DOCS = 2000
 UNKNOWN = "und"
 BLANK = 1
 HASH_RANGE = 1 << 30
+#: Code points whose n-grams are counted at once.
+PART = 1 << 20
 
 _letters: np.ndarray | None = None
 
@@ -39,7 +41,29 @@ def letters() -> np.ndarray:
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of a text's n-grams, rising, and their counts. 21 bits a letter; none for a text without letters."""
+    """Codes of a text's n-grams, rising, and their counts. 21 bits a letter; none for a text without letters.
+
+    A long text is counted part by part, so that memory is bounded; parts end at spaces, over which no n-gram reaches.
+    """
+    found, at = [], 0
+    while at < len(text):
+        end = text.find(" ", at + PART) if len(text) - at > PART else -1
+        end = len(text) if end < 0 else end
+        found.append(part_grams(text[at:end]))
+        if len(found) > 16:
+            found = [summed(found)]
+        at = end
+    return found[0] if len(found) == 1 else summed(found)
+
+
+def summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    codes, inverse = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    return codes, np.bincount(inverse, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
+
+
+def part_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     chars = np.concatenate([[BLANK], np.where(letters()[points], points, BLANK), [BLANK]]).astype(np.uint64)
     chars = chars[np.append(True, (chars[1:] != BLANK) | (chars[:-1] != BLANK))]
@@ -91,8 +115,7 @@ def counter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(block["lang"].to_pylist(), block["text"].to_pylist(), strict=True):
             sums.setdefault(lang, []).append(grams(text))
         for lang, found in sums.items():
-            codes, inverse = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([k for _, k in found]), len(codes)).astype(np.int64)
+            codes, n = summed(found)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 

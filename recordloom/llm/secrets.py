@@ -39,6 +39,9 @@ ALL_KINDS = (*KINDS, "secret")
 TRAIN_WINDOWS, WINDOW = 2000, 400
 BUCKETS = 1 << 13
 ROUNDS, RATE, L2 = 60, 0.5, 1e-5
+#: Code points of a long text that are read at once, and chunks around them that are read too.
+PART, LOOK = 1 << 20, 4
+SPACES = re.compile("[ \n]")
 #: Code points of an added span, at least.
 MIN_ADDED = 12
 OUT, BEGIN, INSIDE = range(3)
@@ -110,8 +113,8 @@ def mixed(*parts: np.ndarray) -> np.ndarray:
     return (h % np.uint64(BUCKETS)).astype(np.int32)
 
 
-def tokenized(texts: list[str]) -> Tokens:
-    """Tokens of texts, with starts and ends as code points in their own text."""
+def tokenized(texts: list[str], share: float | None = None) -> Tokens:
+    """Tokens of texts, with starts and ends as code points in their own text; share: of signs in the file, if the texts are part of one."""
     encoded = [t.encode("utf-32-le", "surrogatepass") for t in texts]
     sizes = np.array([len(e) // 4 for e in encoded], np.int64)
     points = np.frombuffer(b"".join(encoded), np.uint32)
@@ -155,7 +158,7 @@ def tokenized(texts: list[str]) -> Tokens:
             out[to] = np.where(doc[to] == doc[from_], x[from_], 0)
         return out
 
-    signs = np.bincount(doc, weights=(group[starts][keep] != 1), minlength=len(texts)) / np.maximum(np.bincount(doc, minlength=len(texts)), 1)
+    signs = np.bincount(doc, weights=(group[starts][keep] != 1), minlength=len(texts)) / np.maximum(np.bincount(doc, minlength=len(texts)), 1) if share is None else np.full(len(texts), share)
     file = mixed(np.full(1, 9), np.minimum((signs * 8).astype(np.int64), 7))[doc]
     columns = [shape, mixed(np.full(1, 2), known), mixed(np.full(1, 3), beside(known, 1)), mixed(np.full(1, 4), beside(known, 2)), mixed(np.full(1, 5), beside(known, 3)), mixed(np.full(1, 6), beside(shape, 1), glued), mixed(np.full(1, 7), beside(shape, -1)), mixed(np.full(1, 8), shape, beside(known, 2)), file]
     return Tokens(start, end, doc, np.stack(columns, axis=1))
@@ -178,12 +181,11 @@ class Crf:
             out += self.emission[features[:, j]]
         return out
 
-    def decode(self, tokens: Tokens) -> np.ndarray:
+    def decode(self, tokens: Tokens, scores: np.ndarray) -> np.ndarray:
         """The best path's tags of all tokens."""
         tags = np.zeros(len(tokens.start), np.int8)
         if not len(tags):
             return tags
-        scores = self.scores(tokens.features)
         t = self.transition
         new = np.append(True, tokens.doc[1:] != tokens.doc[:-1])
         # A tag that gives way to OUT changes at most three moves, and if the next tag is INSIDE, it becomes BEGIN.
@@ -197,6 +199,57 @@ class Crf:
         return tags
 
 
+    def read(self, texts: list[str]) -> tuple[Tokens, np.ndarray]:
+        """Tokens of texts and their tags' scores; a long text, which comes alone, is read part by part.
+
+        Parts end at white space, and each is read with the LOOK chunks between white space around it, which hold all
+        neighbours that its tokens' features look at.
+        """
+        if max(map(len, texts), default=0) <= PART:
+            tokens = tokenized(texts)
+            return tokens, self.scores(tokens.features)
+        (text,) = texts
+        bounds = parted(text)
+        counts = np.zeros(2, np.int64)
+        for _, a, b, _ in bounds:
+            counts += sign_counts(text[a:b])
+        starts, ends, scores = [], [], []
+        for low, a, b, high in bounds:
+            t = tokenized([text[low:high]], counts[0] / max(counts[1], 1))
+            own = (t.start >= a - low) & (t.start < b - low)
+            starts.append(t.start[own] + low)
+            ends.append(t.end[own] + low)
+            scores.append(self.scores(t.features[own]))
+        start = np.concatenate(starts)
+        return Tokens(start, np.concatenate(ends), np.zeros(len(start), np.int64), np.zeros((len(start), 0), np.int32)), np.concatenate(scores)
+
+
+def parted(text: str) -> list[tuple[int, int, int, int]]:
+    """Parts of a text (begin, end) between the bounds of what is read with them."""
+    out, a = [], 0
+    while a < len(text):
+        cut = SPACES.search(text, a + PART) if len(text) - a > PART else None
+        b = cut.start() if cut else len(text)
+        low, high = a, b
+        for _ in range(LOOK):
+            low = max((text.rfind(c, 0, max(low - 1, 0)) for c in " \n"), default=-1) if low > 0 else 0
+            low = max(low, 0)
+            after = SPACES.search(text, high + 1) if high < len(text) else None
+            high = after.start() if after else len(text)
+        out.append((low, a, b, high))
+        a = b
+    return out
+
+
+def sign_counts(text: str) -> np.ndarray:
+    """Tokens of signs, and all tokens."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = classes()[points]
+    group = np.where((kind >= DIGIT) & (kind <= LETTER), np.uint8(1), np.where(kind == SPACE, np.uint8(0), kind))
+    first = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, bool)
+    return np.array([(first & (group > 1)).sum(), (first & (group > 0)).sum()])
+
+
 def runs(wanted: np.ndarray, new: np.ndarray) -> list[tuple[int, int]]:
     """Runs of wanted places, cut where a new text begins."""
     edge = wanted.copy()
@@ -386,8 +439,13 @@ def train(df: DataFrame, text_col: str = "text", train_windows: int = TRAIN_WIND
 
 def added_spans(crf: Crf, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """Secrets that the CRF tags, of at least MIN_ADDED code points, without white space and not letters alone, which don't overlap base spans."""
-    tokens = tokenized(texts)
-    tags = crf.decode(tokens)
+    long = [i for i, t in enumerate(texts) if len(t) > PART] if len(texts) > 1 else []
+    if long:
+        short = [i for i in range(len(texts)) if i not in set(long)]
+        found = dict(zip(short, added_spans(crf, [texts[i] for i in short], [base[i] for i in short]), strict=True))
+        return [found[i] if i in found else added_spans(crf, [t], [base[i]])[0] for i, t in enumerate(texts)]
+    tokens, scores = crf.read(texts)
+    tags = crf.decode(tokens, scores)
     out: list[list[Span]] = [[] for _ in texts]
     bounds = [([s for _, s, _ in b], [0, *accumulate((e for _, _, e in b), max)]) for b in base]
     for i in np.flatnonzero(tags == BEGIN):

@@ -241,6 +241,16 @@ def test_languages_of_hard_rows(spark):
     assert {r.lang_pred for r in langid.languages(cases.documents(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_long_texts_are_counted_part_by_part(monkeypatch):
+    texts = [t for t in cases.TEXTS if t] + noise(11, 20, "abcé  \n.,")
+    whole = [langid.grams(t) for t in texts]
+    monkeypatch.setattr(langid, "PART", 5)
+    for t, (codes, counts) in zip(texts, whole, strict=True):
+        if len(t) < 10_000:
+            got = langid.grams(t)
+            assert np.array_equal(got[0], codes) and np.array_equal(got[1], counts)
+
+
 def test_out_of_place_distance():
     profiles = langid.Profiles({"a": langid.ranked(*langid.grams("aba abba")).tolist(), "x": langid.ranked(*langid.grams("xyz xy")).tolist()})
     assert profiles.predict("abba aba")[0] == "a" and profiles.predict("xyz")[0] == "x"
@@ -360,7 +370,8 @@ def crf(spark, tiny):
 def test_decoding_is_viterbi(crf):
     texts = [t or "" for t in cases.TEXTS if t is None or len(t) < 10_000] + noise(7, 20, "abcdef 0123456789=\"'token:/")
     tokens = secrets.tokenized(texts)
-    tags, scores = crf.decode(tokens), crf.scores(tokens.features)
+    scores = crf.scores(tokens.features)
+    tags = crf.decode(tokens, scores)
     for d in range(len(texts)):
         own = np.flatnonzero(tokens.doc == d)
         if len(own):
@@ -395,6 +406,18 @@ def test_no_fragments_of_words_are_added(spark, crf):
         assert not [t[s:e] for t, f in zip(part, found, strict=True) for _, s, e in f if not any(c.isdigit() for c in t[s:e])]
 
 
+def test_long_texts_are_read_part_by_part(crf, monkeypatch):
+    texts = [*planted.secret_texts(5, 60)[0], *(t for t in cases.TEXTS if t and len(t) < 10_000), "word " * 50 + "x" * 300 + " token = '" + "aB3" * 20 + "'\n" * 3]
+    base = [secrets.base_spans(t) for t in texts]
+    whole = [(secrets.added_spans(crf, [t], [b]), secrets.tokenized([t])) for t, b in zip(texts, base, strict=True)]
+    monkeypatch.setattr(secrets, "PART", 40)
+    assert [w[0] for w, _ in whole] == secrets.added_spans(crf, texts, base)
+    for t, (_, tokens) in zip(texts, whole, strict=True):
+        if len(t) > 40:
+            got, scores = crf.read([t])
+            assert np.array_equal(got.start, tokens.start) and np.array_equal(got.end, tokens.end) and np.allclose(scores, crf.scores(tokens.features))
+
+
 def test_windows_are_distinct(spark):
     rows = [(i, "the same text") for i in range(500)] + [(500 + i, f"a text of its own, number {i}, token = {'a1' * 10}{i}" if i % 2 else f"another one {i}") for i in range(100)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
