@@ -35,6 +35,8 @@ BUDGET, BANDS = 44, 10
 SALTS = (0x51, 0xA7, 0xF3)
 #: Longs of the bitmaps that tasks compare before they report a pair; long texts need the longer ones, compared after.
 FIXED = 8
+#: Rows of a key that a task joins with the key's pivots, which are few enough to be in many tasks.
+CHUNK = 1 << 10
 #: Shingles that are ordered at once.
 AT_ONCE = 1 << 13
 ORDERS = remixed(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
@@ -154,17 +156,17 @@ def links(texts: DataFrame, nodes: DataFrame, size: int, limit: int = LIMIT) ->
     meeting = durable(keys.join(beside(shared), "key").join(prints, "node"))
     columns = ["key", "c1", "c2", "side", "node", "label", "size", "fp", "fp2", *(f"w{i}" for i in range(FIXED))]
 
-    def joined(rows: DataFrame) -> DataFrame:
-        return linked(tasks(dealt(rows, limit).select(*columns)).mapInArrow(candidates(BUDGET), "a long, b long"), nodes, texts, size)
+    def joined(rows: DataFrame, most: int) -> DataFrame:
+        return linked(tasks(dealt(rows, most).select(*columns)).mapInArrow(candidates(BUDGET), "a long, b long"), nodes, texts, size)
 
     first = F.array_contains("pivots", F.col("node"))
-    few = joined(meeting.withColumns({"label": F.col("node"), "first": first, "r": F.size("pivots").cast("long")}))
+    few = joined(meeting.withColumns({"label": F.col("node"), "first": first, "r": F.size("pivots").cast("long")}), min(limit, CHUNK))
     known = durable(components(few)).withColumnRenamed("node", "known")
     labelled = meeting.drop("n", "pivots").join(beside(known), F.col("node") == F.col("known"), "left").withColumn("label", F.coalesce("root", "node"))
     counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
     split = durable(counts.where("n > top.n"))
     rest = labelled.join(beside(split), "key").withColumns({"first": F.col("label") != F.col("top.label"), "r": F.col("n") - F.col("top.n")})
-    return few.union(joined(rest))
+    return few.union(joined(rest, limit))
 
 
 def near_groups(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", key: str | None = None, limit: int = LIMIT) -> DataFrame:
