@@ -132,9 +132,9 @@ def json_string(c: Column) -> Column:
 
 def json_value(c: Column) -> Column:
     """Numbers and booleans verbatim, arrays as arrays of strings, all else quoted."""
-    kind = classify(c)
     items = F.concat(F.lit("["), F.array_join(F.transform(elements(c), json_string), ","), F.lit("]"))
-    return F.when(kind.isin("number", "boolean"), c).when(kind == "array", items).otherwise(json_string(c))
+    bare = c.isin("true", "false") | (numeric_start(c) & c.rlike(NUMBER) & ~c.rlike(TIMESTAMP))
+    return F.when(is_array(c), items).when(bare, c).otherwise(json_string(c))
 
 
 def footer(at: Column) -> Column:

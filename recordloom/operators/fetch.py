@@ -10,14 +10,18 @@ from recordloom.functions.codec import escape, json_string, json_value
 
 def line(uuid: Column, fields: Column) -> Column:
     """`uuid<tab>key=value...`, escaped, keys in byte order."""
-    keys = F.array_sort(F.map_keys(fields))
-    return F.array_join(F.concat(F.array(uuid), F.transform(keys, lambda k: F.concat(escape(k), F.lit("="), escape(F.try_element_at(fields, k))))), "\t")
+    cells = F.transform(entries(fields), lambda e: F.concat(escape(e["key"]), F.lit("="), escape(e["value"])))
+    return F.array_join(F.concat(F.array(uuid), cells), "\t")
+
+
+def entries(fields: Column) -> Column:
+    """A record's (key, value), keys in byte order; a value is looked up once, however often an expression has it."""
+    return F.array_sort(F.map_entries(fields))
 
 
 def json_line(uuid: Column, fields: Column) -> Column:
     """`{"_uuid":...}` with numbers and booleans bare, keys in byte order."""
-    keys = F.array_sort(F.map_keys(fields))
-    members = F.transform(keys, lambda k: F.concat(json_string(k), F.lit(":"), json_value(F.try_element_at(fields, k))))
+    members = F.transform(entries(fields), lambda e: F.concat(json_string(e["key"]), F.lit(":"), json_value(e["value"])))
     return F.concat(F.lit("{"), F.array_join(F.concat(F.array(F.concat(F.lit('"_uuid":'), json_string(uuid))), members), ","), F.lit("}"))
 
 

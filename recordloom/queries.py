@@ -363,8 +363,7 @@ REPLAYED = f"WITH {LOG} SELECT u AS uuid, string_agg({SQL_ESCAPED.format('k')} |
 
 
 def _lines(records: DataFrame) -> DataFrame:
-    keys = F.array_sort(F.map_keys("fields"))
-    cells = F.transform(keys, lambda k: F.concat(codec.escape(k), F.lit("="), codec.escape(F.try_element_at("fields", k))))
+    cells = F.transform(fetch.entries(F.col("fields")), lambda e: F.concat(codec.escape(e["key"]), F.lit("="), codec.escape(e["value"])))
     return records.select("uuid", F.array_join(cells, "\t").alias("fields"))
 
 
