@@ -34,13 +34,13 @@ def edited(r, words, n):
     return out
 
 
-def near_the_border(seed=5):
+def near_the_border(seed=5, n=150):
     """Pairs of similarity 0.7 to 0.9, a large group of copies of one text, one line that many texts share, and short texts."""
     r = random.Random(seed)
     words = ["".join(r.choice("aeioustrnl") for _ in range(r.randrange(3, 9))) for _ in range(3000)]
     line, base = r.choices(words, k=30), r.choices(words, k=200)
     texts = []
-    for _ in range(150):
+    for _ in range(n):
         one = r.choices(words, k=r.randrange(150, 400))
         texts += [one, edited(r, one, round(len(one) * r.uniform(0.008, 0.036)))]
     texts += [edited(r, base, r.randrange(1, 10)) for _ in range(120)]
@@ -63,7 +63,7 @@ def test_components_are_those_of_all_pairs(spark, tmp_path, parts, limit):
 
 
 def test_stage_decides_by_similarity(spark, tmp_path):
-    texts = near_the_border()
+    texts = near_the_border(6, 30)
     label = brute_components(brute_sets(texts))
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     left = corpus_pipeline.near_copies(spark, spark.read.parquet(str(tmp_path / "d")), None)
@@ -87,11 +87,12 @@ def test_pairs_at_the_border_share_a_key_and_differ_in_few_bits():
 def test_recall_and_precision_on_the_test_table(spark):
     """Links of documents whose id is divisible by 20 against all pairs by brute force."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
-    rows = {r.doc_id: r.text or "" for r in docs.collect()}
-    sets = dict(zip(rows, brute_sets(list(rows.values())), strict=True))
+    rows = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    sets = {i: {hash(b" ".join(w[k : k + 5])) for k in range(max(1, len(w) - 4))} for i, w in rows.items()}
+    asked = set().union(*(s for i, s in sets.items() if i % 20 == 0))
     holders = {}
     for i, s in sets.items():
-        for x in s:
+        for x in s & asked:
             holders.setdefault(x, []).append(i)
     component = {r.doc_id: r.component_id for r in similarity.near_groups(docs, 5).collect()}
     wanted = found = 0
@@ -100,6 +101,7 @@ def test_recall_and_precision_on_the_test_table(spark):
             if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 wanted += 1
                 found += component[i] == component[j]
+    print("recall", found, "of", wanted)
     assert wanted > 20 and found >= 0.99 * wanted
 
 
