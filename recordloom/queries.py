@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.errors import ParseError
 from recordloom.functions import codec, ids
 from recordloom.operators import fetch, index, log, predicates, store
 from recordloom.operators.predicates import WideFields
@@ -544,6 +545,38 @@ def file_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("seq", "op", "uuid").join(_lines(found), "uuid")
 
 
+#: Criteria that are wrong, and the line that says so; whether they are lookups.
+WRONG = [
+    ("is\ta\tb", 1, False), ("has", 1, False), ("eq\ta", 1, False), ("has\ta\tb", 1, False), ("\neq\ta\t[x]", 2, False), ("eq\ta\t{x}", 1, False), ("end", 1, False), ("has\ta\nhas\tb\nend", 3, False),
+    ("eq\t\\q\tb", 1, False), ("eq\ta\t\\x0", 1, False), ("and\nor\nand\nor\nand\nend\nend\nend\nend\nend", 5, False), ("a\tb\n@other\tx", 2, True), ("@present", 1, True), ("@present\ta\tb", 1, True), ("@absent\ta\tb\tc", 1, True),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {line})" for i, (_, line, _) in enumerate(WRONG)) + ") AS t(criteria, line)")
+def criteria_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def line(criteria: str, lookup: bool) -> int:
+        try:
+            (parse_lookup if lookup else parse_filter)(criteria)
+        except ParseError as e:
+            return e.line
+        return 0
+
+    return spark.createDataFrame([(i, line(c, lookup)) for i, (c, _, lookup) in enumerate(WRONG)], "criteria int, line int")
+
+
+#: Lines of an action log after a good id, and whether they are wrong.
+LINES = [("+", "\tk=v", False), ("*", "\tk=v", True), ("+", "", True), ("+", "\t", True), ("+", "k=v", True), ("-", "\tk=v", True), ("-", "  ", False), ("+", "\tk", True), ("~", "\tk=\\q", True), ("~", "\tk=[x]", True), ("!", "\tk={}", True), ("+", "\t=v", True), ("~", "\tk=\\x00", False), ("!", "\ta=1\ta=2", False)]
+
+
+@query(f"SELECT CAST({len(LINES)} * event_id + i + 1 AS BIGINT) AS line, wrong FROM events, (VALUES " + ", ".join(f"({i}, {'true' if wrong else 'false'})" for i, (_, _, wrong) in enumerate(LINES)) + ") AS t(i, wrong)")
+def action_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of an action log are wrong; every event's record has a line of each kind."""
+    n = F.col("event_id")
+    value = F.explode(F.array(*[F.struct((n * len(LINES) + i + 1).alias("line"), F.concat(F.lit(op), ids.numbered("O", n), F.lit(rest)).alias("text")) for i, (op, rest, _) in enumerate(LINES)]))
+    rows = tables.read(spark, sf_dir, "events").select(value.alias("r")).select("r.line", "r.text")
+    return text.actions_of(rows).select("line", F.col("error").isNotNull().alias("wrong"))
+
+
 def index_file(name: str, sql: str, made: Callable[[SparkSession, str], DataFrame], read: Callable[[SparkSession, str], DataFrame]) -> None:
     """Registers a query that writes an index to a file, reads it back and gives its rows."""
 
