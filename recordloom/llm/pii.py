@@ -45,20 +45,22 @@ Span = tuple[int, int]
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-# In a run of digits only the first can start a match: the run ends where any later start's would.
-IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# Found from the first dot: patterns that begin with what is rare are searched for fast.
+IP_REST = re.compile(r"\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Looser candidates: groups of seven or more digits, account numbers, anything around an at sign, addresses spelt out, two or three capitalised words.
+DIGIT_RUN = re.compile(r"[0-9](?:[ ().\-/]{0,2}[0-9]){6,}")
 DIGITS = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[ ().\-/]{0,2}[0-9]){6,}(?![0-9A-Za-z])")
-ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 AROUND_AT = re.compile(r"[^\s@<>\"',;]{1,64}\Z"), re.compile(r"[^\s@<>\"',;]{1,255}")
 SPELT_AT = re.compile(r" ?[\[({] ?at ?[\])}] ?| at ", re.IGNORECASE)
+BRACKET_AT = re.compile(r"[\[({] ?[aA][tT] ?[\])}]")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 SPELT_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
 SPELT_DOT = re.compile(r" ?[\[({] ?dot ?[\])}] ?| dot ", re.IGNORECASE)
-CAPITALISED = re.compile(r"\b[A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20}){1,2}\b")
+CAPITALISED = re.compile(r"[A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20}){1,2}\b")
 
 # Gazetteers and context words, general knowledge in the languages at hand.
 GIVEN_NAMES = frozenset("""Aaron Adam Adrian Agnes Alan Albert Alejandro Alexander Alice Amanda Amy Andrea Andreas Andrew Angela Anita Anna Anne Anthony Antoine Antonio
@@ -105,10 +107,25 @@ def emails(text: str) -> list[Span]:
     return found
 
 
+def ips(text: str) -> list[Span]:
+    """Leftmost non-overlapping matches of four runs of digits between dots."""
+    found, m = [], IP_REST.search(text)
+    while m:
+        start = m.start()
+        while start and "0" <= text[start - 1] <= "9":
+            start -= 1
+        if start < m.start():
+            found.append((start, m.end()))
+            m = IP_REST.search(text, m.end())
+        else:
+            m = IP_REST.search(text, m.start() + 1)
+    return found
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base patterns by start, then kind as listed."""
     found = [("email", *s) for s in emails(text)]
-    found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split("."))]
+    found += [("ip", s, e) for s, e in ips(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in text[s:e].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := only_digits(m[0])) <= 19 and luhn(d):
             found.append(("card", m.start(), m.end()))
@@ -123,14 +140,33 @@ def iban(text: str) -> bool:
 
 def spelt_emails(text: str) -> list[Span]:
     """Addresses whose at sign, and maybe dots, are written as words."""
+    at = [m.span() for m in BRACKET_AT.finditer(text)]
+    for word in (" at ", " At ", " AT "):
+        place = text.find(word)
+        while place >= 0:
+            at.append((place, place + 4))
+            place = text.find(word, place + 1)
     found = []
-    for m in SPELT_AT.finditer(text):
-        left, right = LOCAL_END.search(text[max(0, m.start() - 64) : m.start()]), SPELT_HOST.match(text, m.end())
+    for start, end in sorted(at):
+        start, end = start - (text[start - 1 : start] == " "), end + (text[end : end + 1] == " " and text[end - 1] != " ")
+        left, right = LOCAL_END.search(text[max(0, start - 64) : start]), SPELT_HOST.match(text, end)
         if left and right:
-            found.append((m.start() - len(left[0]), right.end()))
+            found.append((start - len(left[0]), right.end()))
     return found
 
 
+def at_words(pattern: re.Pattern, text: str) -> Iterator[Span]:
+    """Matches that begin at a word's begin, leftmost and non-overlapping."""
+    m = pattern.search(text)
+    while m:
+        s = m.start()
+        if s and (text[s - 1].isalnum() or text[s - 1] == "_"):
+            m = pattern.search(text, s + 1)
+        else:
+            yield m.span()
+            m = pattern.search(text, m.end())
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Looser spans of kinds email, account, name and number that might be personal data."""
     found = [("email", *s) for s in spelt_emails(text)]
@@ -140,11 +176,14 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         if left and right:
             found.append(("email", at - len(left[0]), right.end()))
         at = text.find("@", at + 1)
-    found += [(kind, m.start(), m.end()) for kind, pattern in (("number", DIGITS), ("account", ACCOUNT)) for m in pattern.finditer(text)]
-    for m in CAPITALISED.finditer(text):
-        titled = TITLE.match(m[0])
-        if not titled or " " in m[0][titled.end() :]:
-            found.append(("name", m.start() + (titled.end() if titled else 0), m.end()))
+    for run in DIGIT_RUN.finditer(text):
+        found += [("number", m.start(), m.end()) for m in DIGITS.finditer(text, max(0, run.start() - 2), run.end() + 1)]
+    found += [("account", *s) for s in at_words(ACCOUNT, text)]
+    for s, e in at_words(CAPITALISED, text):
+        titled = TITLE.match(text, s, e)
+        first = titled.end() if titled else s
+        if not titled or " " in text[first:e]:
+            found.append(("name", first, e))
     return sorted(found, key=lambda s: (s[1], ALL_KINDS.index(s[0]), s[2]))
 
 

@@ -287,6 +287,23 @@ def test_base_personal_data(seed):
         assert pii.base_spans(text) == brute_pii(text)
 
 
+PLAIN_PATTERNS = {"number": pii.DIGITS, "account": re.compile(r"\b" + pii.ACCOUNT.pattern), "name": re.compile(r"\b" + pii.CAPITALISED.pattern)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_candidates_are_those_of_plain_patterns(seed):
+    r = random.Random(seed)
+    for _ in range(2000):
+        text = "".join(r.choice(["a", "Bob", "Ann", " ", " ", "Dr ", "DE", "12", "3456", "7890 ", "AB12", "+", "(", ")", "-", ".", "/", "_", "é", "X", "20", "\n", " Lee", "GB82WEST12345698765432"]) for _ in range(r.choice([5, 20, 60])))
+        got = pii.candidates(text)
+        for kind, pattern in PLAIN_PATTERNS.items():
+            want = [m.span() for m in pattern.finditer(text)]
+            if kind == "name":
+                titled = [(pii.TITLE.match(text, *s), *s) for s in want]
+                want = [(t.end() if t else s, e) for t, s, e in titled if not t or " " in text[t.end() : e]]
+            assert sorted((s, e) for k, s, e in got if k == kind) == sorted(want), (kind, text)
+
+
 def test_personal_data_of_hard_rows(spark):
     rows = pii.personal_data(cases.documents(spark)).collect()
     known = dict(enumerate(cases.TEXTS))
