@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import blocks, keyed_texts, prepared, table, text_or_empty
+from recordloom.llm.common import blocks, durable, keyed_texts, prepared, table, text_or_empty
 
 KINDS = ("assign", "access", "hex")
 #: The kind that only the method adds, last in the order of equal starts.
@@ -48,16 +48,37 @@ OUT, BEGIN, INSIDE = range(3)
 #: Weight of a move that can't be.
 BARRED = -1e4
 
-ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+# An assignment is found from its sign: patterns that begin with what is rare are searched for fast.
+SIGN_OF = re.compile("[:=]")
+KEY_END = re.compile(r"(?:password|passwd|secret|token|api_?key)\Z", re.IGNORECASE | re.ASCII)
+VALUE = re.compile(r"""\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
+LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 
 Span = tuple[str, int, int]
 
 
+def assignments(text: str) -> list[tuple[int, int, int]]:
+    """Leftmost non-overlapping assignments: start, start of the value, end."""
+    found, floor = [], 0
+    m = SIGN_OF.search(text)
+    while m:
+        at = m.start()
+        while at > floor and text[at - 1] == " ":
+            at -= 1
+        at -= at > floor and text[at - 1] in "\"'"
+        key = KEY_END.search(text[max(floor, at - 8) : at])
+        value = VALUE.match(text, m.end()) if key else None
+        if value:
+            found.append((at - len(key[0]), value.start(1), value.end()))
+            floor = value.end()
+        m = SIGN_OF.search(text, max(floor, m.end()))
+    return found
+
+
 def base_spans(text: str) -> list[Span]:
     """(kind, start, end) of the base patterns, whole matches, by start, then kind as listed."""
-    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
+    found = [("assign", s, e) for s, v, e in assignments(text) if e - v >= 12]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [("hex", m.start(), m.end()) for m in LONG_HEX.finditer(text)]
     return sorted(found, key=lambda s: (s[1], ALL_KINDS.index(s[0])))
@@ -65,7 +86,7 @@ def base_spans(text: str) -> list[Span]:
 
 def secret_spans(text: str) -> list[tuple[int, int]]:
     """What of the base matches is the secret itself: an assignment's value, a key, a hex string that isn't all digits; overlaps united."""
-    raw = [m.span(1) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
+    raw = [(v, e) for _, v, e in assignments(text) if e - v >= 12]
     raw += [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= 18] + [m.span() for m in LONG_HEX.finditer(text) if not m[0].isdigit()]
     out: list[tuple[int, int]] = []
     for s, e in sorted(raw):
@@ -430,7 +451,7 @@ def train(df: DataFrame, text_col: str = "text", train_windows: int = TRAIN_WIND
     """A CRF from at most train_windows distinct windows of the texts of df, half with base matches, chosen by a hash, and their disguises."""
     half = train_windows // 2
     texts = prepared(df.select(text_or_empty(text_col).alias("text")))
-    found = texts.mapInArrow(sampler(half), "has boolean, h long, text string, spans array<int>").groupBy("has", "h").agg(F.any_value(F.struct("text", "spans")).alias("w"))
+    found = durable(texts.mapInArrow(sampler(half), "has boolean, h long, text string, spans array<int>").groupBy("has", "h").agg(F.any_value(F.struct("text", "spans")).alias("w")))
     chosen = found.where("has").orderBy("h").limit(half).union(found.where("NOT has").orderBy("h").limit(half))
     rows = sorted(chosen.select("h", "w.*").collect(), key=lambda r: r["h"])
     plain = [(r["text"], list(zip(r["spans"][::2], r["spans"][1::2], strict=True))) for r in rows]
