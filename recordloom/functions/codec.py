@@ -44,16 +44,8 @@ def unescape(c: Column) -> Column:
         byte = F.char(F.conv(F.substring(token, 3, 2), 16, 10).cast("int"))
         return F.when(token == "\\\\", F.lit("\\")).when(token.startswith("\\x"), byte).otherwise(token)
 
-    def part(p: Column) -> Column:
-        """Text between escaped backslashes: the escapes that escape() writes are replaced at once, others one by one."""
-        usual = p
-        for char, coded in ESCAPES[1:]:
-            usual = F.replace(F.replace(usual, F.lit(coded), F.lit(char)), F.lit(coded.lower()), F.lit(char))
-        rest = F.array_join(F.transform(F.regexp_extract_all(p, F.lit(ESCAPE_TOKEN), F.lit(1)), plain), "")
-        return F.when(~p.contains("\\"), p).when(~usual.contains("\\"), usual).otherwise(rest)
-
-    parts = F.split(c, r"\\\\", -1)
-    return F.when(~c.contains("\\"), c).when(is_escaped(c), F.array_join(F.transform(parts, part), "\\"))
+    tokens = F.regexp_extract_all(c, F.lit(ESCAPE_TOKEN), F.lit(1))
+    return F.when(~c.contains("\\"), c).when(is_escaped(c), F.array_join(F.transform(tokens, plain), ""))
 
 
 def unescaped(text: str) -> str | None:

@@ -14,17 +14,15 @@ from pyspark.sql import functions as F
 from recordloom.errors import DuplicateId, EmptyRecord, MissingId
 from recordloom.functions.codec import TOMBSTONE
 
-_STATE = "map<string,string>"
-#: State after each action, in order: null is absent.
-REPLAY = f"""aggregate(ops, CAST(NULL AS {_STATE}), (acc, o) -> CASE WHEN o.op = '-' THEN NULL WHEN o.op IN ('+', '!') THEN map_from_entries(o.cells)
- WHEN acc IS NULL THEN NULL
- ELSE map_filter(map_concat(map_filter(acc, (k, v) -> NOT array_contains(o.cells.key, k)), map_from_entries(o.cells)), (k, v) -> v <> char(0)) END)"""
+#: A record's fields as entries, as actions in order have them; entries are cheaper to merge than maps, and can be sorted.
+_CELLS = "array<struct<key:string,value:string>>"
+_MERGED = "filter(concat(filter({acc}, e -> NOT array_contains(o.cells.key, e.key)), o.cells), e -> e.value <> char(0))"
+_AFTER = "CASE WHEN o.op = '-' THEN NULL WHEN o.op IN ('+', '!') THEN o.cells WHEN {acc} IS NULL THEN NULL ELSE " + _MERGED + " END"
+#: State after all actions: null is absent.
+REPLAY = f"aggregate(ops, CAST(NULL AS {_CELLS}), (acc, o) -> {_AFTER.format(acc='acc')}, s -> map_from_entries(s))"
 #: The first seq at which an action leaves a record without fields.
-EMPTIED = f"""aggregate(ops, named_struct('acc', CAST(NULL AS {_STATE}), 'bad', CAST(NULL AS BIGINT)), (s, o) -> named_struct('acc',
- CASE WHEN o.op = '-' THEN NULL WHEN o.op IN ('+', '!') THEN map_from_entries(o.cells) WHEN s.acc IS NULL THEN NULL
- ELSE map_filter(map_concat(map_filter(s.acc, (k, v) -> NOT array_contains(o.cells.key, k)), map_from_entries(o.cells)), (k, v) -> v <> char(0)) END,
- 'bad', coalesce(s.bad, CASE WHEN o.op = '!' AND size(o.cells) = 0 THEN o.seq WHEN o.op = '~' AND s.acc IS NOT NULL AND
- size(map_filter(map_concat(map_filter(s.acc, (k, v) -> NOT array_contains(o.cells.key, k)), map_from_entries(o.cells)), (k, v) -> v <> char(0))) = 0 THEN o.seq END)), s -> s.bad)"""
+EMPTIED = f"""aggregate(ops, named_struct('acc', CAST(NULL AS {_CELLS}), 'bad', CAST(NULL AS BIGINT)), (s, o) -> named_struct('acc', {_AFTER.format(acc='s.acc')},
+ 'bad', coalesce(s.bad, CASE WHEN o.op = '!' AND size(o.cells) = 0 THEN o.seq WHEN o.op = '~' AND s.acc IS NOT NULL AND size({_MERGED.format(acc='s.acc')}) = 0 THEN o.seq END)), s -> s.bad)"""
 
 
 def as_actions(base: DataFrame) -> DataFrame:

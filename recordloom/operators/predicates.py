@@ -48,7 +48,8 @@ class MapFields:
         return F.try_element_at(self.fields, F.lit(key))
 
     def any(self, key: str, test: Callable[[Column], Column]) -> Column:
-        return F.exists(elements(self.packed(key)), test)
+        # The value is bound to a lambda's variable, so that it is looked up once, however often elements() has it.
+        return F.exists(F.array(self.packed(key)), lambda value: F.exists(elements(value), test))
 
     def token(self, token: str) -> Column:
         return self.has(token) | F.array_contains(F.map_values(self.fields), token)
