@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import beside, blocks, durable, keyed_texts, prepared, row_keyed, schema_with, table
+from recordloom.llm.common import BROADCAST_ROWS, beside, blocks, durable, keyed_texts, prepared, row_keyed, schema_with, table
 
 SHINGLE, BUDGET, SEED, BITS = 4, 4, 42, 64
 #: Hashes whose bits are counted at once.
@@ -268,11 +268,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = durable(edges)
     state, before = digest(edges), None
     while state != before:
+        side = F.broadcast if state[0] <= BROADCAST_ROWS else durable  # minima are at most two for each edge
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = durable(edges.join(beside(least), edges.b == least.u).select("a", F.col("m").alias("b")).distinct())
-        least = durable(large.groupBy("a").agg(F.min("b").alias("m")))
-        joined = large.join(beside(least), "a")
+        least = side(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = durable(edges.join(least, edges.b == least.u).select("a", F.col("m").alias("b")).distinct())
+        least = side(large.groupBy("a").agg(F.min("b").alias("m")))
+        joined = large.join(least, "a")
         edges = durable(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct())
         before, state = state, digest(edges)
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(edges.select("b", "b").distinct())
