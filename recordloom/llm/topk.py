@@ -5,8 +5,8 @@ query row scatters query weight x posting weight into a dense score array over t
 the block's k best are selected by partition, and the best of all blocks are merged: in each task first, then by query.
 
 Candidates and queries are packed into blocks of rows, one row of a table each, and the query set meets all candidates
-block by block, in one job: query blocks are broadcast while they are few (BROADCAST_BLOCKS), else Spark pairs the
-partitions of both, which tasks read from storage. The driver sees neither.
+block by block, in one job: query blocks are broadcast up to BROADCAST_BYTES, else Spark pairs the partitions of both,
+which tasks read from storage. The driver sees neither.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from recordloom.llm.common import durable, prepared, row_keyed, table
 
 #: Candidate rows and query rows of a block; a dense score array has as many cells (4 or 8 bytes each).
 ROWS, QUERIES, TILE = 2048, 512, 32
-#: Query blocks that are broadcast at most.
-BROADCAST_BLOCKS = 32
+#: Bytes of query vectors that are broadcast at most.
+BROADCAST_BYTES = 32 << 20
 #: Weights beyond this are counted with whole numbers of any size. Below, 4096 products fit 62 bits.
 BIG = 1 << 25
 LEAST, MOST = -(1 << 63) + 1, (1 << 63) - 1
@@ -173,7 +173,7 @@ def searched(k: int, single: bool) -> Callable[[Rows], Iterator[pa.RecordBatch]]
     return run
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
+def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The k highest-scoring other rows of each query row: query_id, rank from 1, vec_id, score; ties to smaller vec_id.
 
     is_query tests the column vec_id. Only a query's own row is left out; further rows with its id are candidates, and a
@@ -185,7 +185,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     asks = durable(vectors.where(is_query).mapInArrow(packer(QUERIES, single), BLOCK)).toDF(*(f"q{i}" for i in range(6)))
     blocks = vectors.mapInArrow(packer(ROWS, single), BLOCK)
     # The stated query set against all rows, block by block.
-    pairs = blocks.crossJoin(F.broadcast(asks)) if asks.count() <= broadcast_blocks else durable(blocks).crossJoin(asks)
+    size = asks.agg(F.coalesce(F.sum(F.octet_length("q5").cast("long")), F.lit(0))).first()[0]
+    pairs = blocks.crossJoin(F.broadcast(asks)) if size <= broadcast_bytes else durable(blocks).crossJoin(asks)
     found = pairs.mapInArrow(searched(k, single), RESULT)
     order = Window.partitionBy("file", "at").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     near = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -115,11 +115,11 @@ def brute_top(vectors, k=5):
                 yield i, r, j, s
 
 
-@pytest.mark.parametrize("blocks", [topk.BROADCAST_BLOCKS, 0])
+@pytest.mark.parametrize("most", [topk.BROADCAST_BYTES, 0])
 @pytest.mark.parametrize("vectors", [VECTORS, VECTORS + HUGE])
-def test_top_k_of_hard_rows(spark, vectors, blocks, monkeypatch):
+def test_top_k_of_hard_rows(spark, vectors, most):
     df = spark.createDataFrame([(i, v, i) for i, v in vectors], "vec_id long, embedding array<float>, score long").repartition(3)
-    got = topk.top_k(df, F.pmod("vec_id", F.lit(50)) == 0, broadcast_blocks=blocks).collect()
+    got = topk.top_k(df, F.pmod("vec_id", F.lit(50)) == 0, broadcast_bytes=most).collect()
     assert Counter(tuple(r) for r in got) == Counter(brute_top(vectors))
     assert topk.top_k(df.limit(0), F.lit(True)).collect() == []
 
