@@ -70,6 +70,17 @@ def test_stage_decides_by_similarity(spark, tmp_path):
     assert {r.doc_id for r in left.collect()} == {min(i for i, x in enumerate(label) if x == g) for g in set(label)}
 
 
+def test_every_pair_of_a_crowded_key_meets_in_one_group(spark):
+    """First rows meet each other and all others once, whatever the number of rows and chunks."""
+    for n, r, limit in ((40, 15, 64), (300, 120, 16), (300, 3, 20), (50, 50, 10)):
+        rows = spark.range(n).selectExpr("7L AS key", "id AS node", f"{n}L AS n", f"id < {r} AS first", f"{r}L AS r")
+        groups = {}
+        for x in simhash.dealt(rows, limit).collect():
+            groups.setdefault((x.c1, x.c2), ([], []))[x.side].append(x.node)
+        met = [frozenset((a, b)) for (i, j), (own, others) in groups.items() for a in own for b in ([y for y in own if y < a] if i == j else []) + others]
+        assert len(met) == len(set(met)) == r * (r - 1) // 2 + r * (n - r)
+
+
 def test_pairs_at_the_border_share_a_key_and_differ_in_few_bits():
     """What the trie join's budget and the keys lose of pairs of similarity 0.8."""
     r = np.random.default_rng(2)
