@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.errors import ParseError
@@ -249,20 +249,40 @@ def classify_values(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT id, norm, rank() OVER (ORDER BY x) AS by_number, rank() OVER (ORDER BY norm) AS by_text FROM k""")
 def norm_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     balances = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("decimal(18,2)").alias("x"))
-    keyed = balances.withColumn("norm", codec.norm(F.col("x").cast("string")))
+    keyed = ranked = balances.withColumn("norm", codec.norm(F.col("x").cast("string")))
     # Ranks by counts of smaller values, which are pre-aggregated; a window without keys would need one task.
-    return _ranked(_ranked(keyed, "x", "by_number"), "norm", "by_text").select("id", "norm", "by_number", "by_text")
+    for by, name in (("x", "by_number"), ("norm", "by_text")):
+        ranks = _ranks(keyed, by, name).withColumnRenamed(by, "of")
+        ranked = ranked.join(ranks, F.col(by).eqNullSafe(F.col("of"))).drop("of")
+    return ranked.select("id", "norm", "by_number", "by_text")
 
 
-def _ranked(df: DataFrame, by: str, name: str) -> DataFrame:
-    """rank() over the whole table: ranges are sorted apart, and each adds the rows of the ranges before it."""
+#: Ranges that _ranks() cuts the values into.
+RANGES = 1024
+
+
+def _ranks(df: DataFrame, by: str, name: str) -> DataFrame:
+    """Each value of a column and its rank() over the whole table, nulls last.
+
+    Rows are counted by value, and each range of values adds the rows of the ranges before it. The ranges are cut at
+    the values of the least hashes, which are the same however often and on whatever partitions the plan is run; numbers
+    of partitions, or bounds that Spark samples, differ between two uses of one table.
+    """
     from pyspark.sql import Window
 
-    ordered = df.repartitionByRange(by).withColumn("part", F.spark_partition_id())
-    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inner = ordered.withColumn("inner", F.rank().over(Window.partitionBy("part").orderBy(by)))
-    return inner.join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("inner")).drop("part", "before", "inner")
+    value = F.col(by)
+    values = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    bounds = values.select(by).orderBy(F.xxhash64(by), by).limit(RANGES - 1).agg(F.array_sort(F.collect_list(by)).alias("bounds"))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(RANGES.bit_length()))])
+    part = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("bounds", at + step - 1) <= value, at + step).otherwise(at))
+    ordered = values.crossJoin(F.broadcast(bounds)).select(by, "n", F.when(value.isNull(), RANGES).otherwise(part).alias("part"))
+
+    def sum_before(window: Window) -> Column:
+        return F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    before = ordered.groupBy("part").agg(F.sum("n").alias("n")).select("part", sum_before(Window.orderBy("part")).alias("before"))
+    inner = ordered.withColumn("inner", sum_before(Window.partitionBy("part").orderBy(F.asc_nulls_last(by))))
+    return inner.join(F.broadcast(before), "part").select(by, (F.col("before") + F.col("inner") + 1).alias(name))
 
 
 SQL_VALID = "regexp_full_match(u, '[A-Z]G[0-9a-km-zA-NP-Z][0-9]{2}[a-fA-F][0-9a-kA-J][0a-lA-K][0-9a-km-zA-NP-Z]{2}[0-9a-zA-Z]{2}')"
