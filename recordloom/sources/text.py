@@ -1,11 +1,15 @@
 """Readers of the tab-separated text formats: databases, action logs, id lists and index files.
 
-Line numbers matter to these formats, so a file is read whole and split on the executors; files are exchange formats,
-bounded each, and a directory of them is read in parallel. Data at scale lives in snapshots (operators.store).
+Line numbers matter to databases, action logs and id lists, so such a file is read whole and split on the executors;
+they are exchange formats, bounded each, and a directory of them is read in parallel. Index files need no numbers, so
+several tasks read one, line by line. Data at scale lives in snapshots (operators.store).
 """
 
 from __future__ import annotations
 
+import codecs
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +26,12 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(_whole(spark, path))
 
 
+def _utf8(c: str) -> Column:
+    return F.when(F.is_valid_utf8(c), F.col(c)).otherwise(F.raise_error(F.lit("not UTF-8")).cast("string"))
+
+
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    bad = F.raise_error(F.lit("not UTF-8")).cast("string")
-    return spark.read.text(path, wholetext=True).select(F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(bad).alias("value"))
+    return spark.read.text(path, wholetext=True).select(_utf8("value").alias("value"))
 
 
 def _numbered(whole: DataFrame) -> DataFrame:
@@ -138,13 +145,48 @@ def ids_of(spark: SparkSession, uuids: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(uuids, 1)), "pos long, uuid string")
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a file or folder that aren't blank, read by several tasks: text, its file, its part of the file and at, which
+    grows within a part. A line's own place differs from run to run, so it must be used in the job that reads it."""
+    read = spark.read.text(path, lineSep="\n")
+    file = F.regexp_replace("_metadata.file_path", "^([^:/]+):///", "$1:/").alias("file")
+    part, at = F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at")
+    rows = read.select(file, part, at, _utf8("value").alias("text"))
+    # Spark's line reader drops a byte-order mark, which is text here; files that begin with one are read whole.
+    marked = [re.sub("^([^:/]+):///", r"\1:/", f) for f in read.inputFiles() if _starts(spark, f) == codecs.BOM_UTF8]
+    if marked:
+        whole = spark.read.text(path, wholetext=True).select(file, part, _utf8("value").alias("value")).where(F.col("file").isin(marked))
+        split = whole.select("file", "part", F.posexplode(F.split("value", "\n", -1)).alias("at", "text"))
+        rows = rows.where(~F.col("file").isin(marked)).union(split)
+    return rows.where("text <> ''")
+
+
+def _starts(spark: SparkSession, path: str) -> bytes:
+    """The first three bytes of a file."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(path))
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        found = [stream.read() for _ in range(3)]
+    finally:
+        stream.close()
+    return bytes(b for b in found if b >= 0)
+
+
 def _columns(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Unescaped columns of an index file; its footer is told by its position, so values may start with #."""
-    rows = lines(spark, path).where("text <> ''")
-    footer = rows.agg(F.max("line").alias("last"))
-    rows = rows.join(F.broadcast(footer)).where("NOT (line = last AND text RLIKE '^# [0-9]{14}$')")
-    part = F.split("text", "\t", -1)
-    return rows.select(*[F.coalesce(codec.unescape(part[i]), part[i]).alias(n) for i, n in enumerate(names)])
+    """Unescaped columns of an index file; its footer is told by its position, so values may start with #.
+
+    Only lines that look like a footer are counted: each file that ends with one has one such line less."""
+    rows, text = _placed(spark, path), F.col("text")
+    stamped = text.startswith("# ") & text.rlike("^# [0-9]{14}$")
+    # The digits, and what may stand after them in the line's last place: fixed width, so that whole texts needn't be sorted.
+    stamp = F.when(stamped, F.substring(text, 3, 14).cast("long") * 10_000 + F.ascii(F.right(text, F.lit(1))))
+    parts = rows.select("file", "part", "at", stamp.alias("stamp")).groupBy("file", "part").agg(F.max_by("stamp", "at").alias("stamp"))
+    last = parts.groupBy("file").agg(F.max_by("stamp", "part").alias("last"))
+    alike = rows.where(stamped).groupBy("file", "text", stamp.alias("stamp")).agg(F.count(F.lit(1)).alias("n")).join(last, "file")
+    kept = alike.select("text", F.explode(F.array_repeat(F.lit(0), (F.col("n") - F.when(F.col("stamp") == F.col("last"), 1).otherwise(0)).cast("int"))))
+    cells = F.split("text", "\t", -1)
+    found = rows.where(~stamped).select("text").union(kept.select("text"))
+    return found.select(*[F.coalesce(codec.unescape(cells[i]), cells[i]).alias(n) for i, n in enumerate(names)])
 
 
 def read_packed_index(spark: SparkSession, path: str, by_value: bool = False) -> DataFrame:
@@ -172,5 +214,5 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
 
 def read_footer(spark: SparkSession, path: str) -> str | None:
     """The timestamp on the last line that isn't blank, or null."""
-    row = lines(spark, path).where("text <> ''").agg(F.max_by("text", "line").alias("t")).first()["t"]
+    row = _placed(spark, path).agg(F.max_by("text", F.struct("file", "part", "at")).alias("t")).first()["t"]
     return row[2:] if row and row.startswith("# ") else None

@@ -1,10 +1,12 @@
 import glob
 import io
 import sys
+from collections import Counter
 
 import pytest
 
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from recordloom import cli
 from recordloom.errors import CommitConflict, DuplicateId, InvalidId, MissingId, ParseError
@@ -176,6 +178,32 @@ def test_index_files(spark, tmp_path):
     assert lines_in(tmp_path / "exploded")[:1] == [f"#k\t#v\\x3D1\t{A}"]
 
 
+def test_index_files_are_read_in_splits(spark, tmp_path):
+    """No task holds a whole file; what is a row or a footer doesn't depend on where a file is cut."""
+    rows = [(f"k{i % 7}\ufeff", "x" * (i % 50) + "\t\r\n=", f"{A[:-4]}{i:04d}") for i in range(3000)]
+    export.write_rows(spark.createDataFrame(rows, "key string, value string, uuid string"), str(tmp_path / "made"))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = text.read_exploded_index(spark, str(tmp_path / "made"))
+        assert Counter(map(tuple, got.collect())) == Counter(rows)
+        assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 10
+        assert len(text.read_footer(spark, str(tmp_path / "made"))) == 14
+        stamp, other = "# 20240101000000", "# 20250101000000"
+        (tmp_path / "f").mkdir()
+        cases = {"a": f"{stamp}\n{other}\n{A}\n{stamp}\n{stamp}\n\n", "b c%": f"\ufeff{stamp}\n{A}\n{other}", "d": f"{stamp}\n{A}\r\n", "e": "\n" * 9000 + f"{B}\n{other}" + "\n" * 9000, "g": f"{other}\n{other}\r\n"}
+        left = {"a": [stamp, other, A, stamp], "b c%": ["\ufeff" + stamp, A], "d": [stamp, A + "\r"], "e": [B], "g": [other]}
+        for name, lines in cases.items():
+            (tmp_path / "f" / name).write_text(lines, newline="")
+            assert Counter(r.uuid for r in text.read_universe(spark, str(tmp_path / "f" / name)).collect()) == Counter(left[name]), name
+        assert Counter(r.uuid for r in text.read_universe(spark, str(tmp_path / "f")).collect()) == Counter(sum(left.values(), []))
+        (tmp_path / "f" / "h").write_bytes(b"a\n" * 5000 + b"caf\xe9\n")
+        with pytest.raises(PySparkException, match="not UTF-8"):
+            text.read_universe(spark, str(tmp_path / "f")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
 def test_streamed_actions(spark, tmp_path):
     source, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "s"))
     actions(spark, [(0, "+", A, {"n": "1"})]).write.parquet(source)
