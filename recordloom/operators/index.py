@@ -1,17 +1,21 @@
 """Indexes over records: packed and exploded inverted indexes, the numeric index and the key-type profile.
 
-All start from pairs (uuid, key, packed value). Sets and counts are pre-aggregated before their one shuffle. Rows of
-the packed index and the profile hold all ids of a value by definition; for values that a large share of records has,
-`chunks` deals their ids over several rows by a hash of the id, and the exploded index has no such rows.
+All start from pairs (uuid, key, packed value). Distinct rows and counts are pre-aggregated before their one shuffle; ids of
+packed rows are sorted after it. Rows of the packed index and the profile hold all ids of a value by definition; for
+values that a large share of records has, `chunks` deals their ids over several rows by a hash of the id, and the
+exploded index has no such rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.codec import classify, elements, norm
 
+#: Ids of a packed row that are sorted and joined at once.
+RUN = 4096
+
 
 def pairs_of(records: DataFrame) -> DataFrame:
     return records.select("uuid", F.explode("fields").alias("key", "value"))
@@ -21,13 +25,19 @@ def _chunk(chunks: int) -> Column:
     return F.pmod(F.xxhash64("uuid"), F.lit(chunks)).cast("int") if chunks > 1 else F.lit(0)
 
 
-def _listed(pairs: DataFrame, keys: list[str | Column], chunks: int) -> DataFrame:
-    return pairs.groupBy(*keys, _chunk(chunks).alias("chunk")).agg(F.array_sort(F.collect_set("uuid")).alias("ids"))
+def _listed(pairs: DataFrame, keys: list[str], chunks: int) -> DataFrame:
+    """keys and uuids: sorted apart in spilling sorts and joined run by run, so that no task holds all ids as objects."""
+    group = [*keys, "chunk"]
+    rank = F.dense_rank().over(Window.partitionBy(*group).orderBy("uuid"))
+    placed = pairs.select(*keys, "uuid", _chunk(chunks).alias("chunk")).withColumn("run", F.floor((rank - 1) / RUN))
+    runs = placed.groupBy(*group, "run").agg(F.array_join(F.array_sort(F.collect_set("uuid")), ",").alias("ids"))
+    listed = runs.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("run", "ids"))).alias("runs"))
+    return listed.select(*keys, F.array_join(F.col("runs.ids"), ",").alias("uuids"))
 
 
 def packed_by_key(pairs: DataFrame, chunks: int = 1) -> DataFrame:
     """key, value and uuids, the sorted ids joined by commas; arrays are values like others."""
-    return _listed(pairs, ["key", "value"], chunks).select("key", "value", F.array_join("ids", ",").alias("uuids"))
+    return _listed(pairs, ["key", "value"], chunks)
 
 
 def packed_by_value(pairs: DataFrame, chunks: int = 1) -> DataFrame:

@@ -34,9 +34,13 @@ def write_database(records: DataFrame, pending: DataFrame, path: str) -> None:
 
 def write_rows(rows: DataFrame, path: str) -> None:
     """An index: its columns escaped, tab-separated, in the byte order of the plain columns, and a timestamp."""
-    cells = [F.col(c).cast("string") for c in rows.columns]
-    value = F.concat_ws("\t", *[c if n in ("uuids", "uuid", "count", "norm", "type") else escape(c) for n, c in zip(rows.columns, cells, strict=True)])
-    _written(_section(rows, 0, F.concat_ws("\x00", *cells), value).union(_footer(rows)), path)
+    plain = rows.select(F.lit(0).alias("section"), *[F.col(c).cast("string") for c in rows.columns])
+    stamp = _footer(rows).select("section", *[F.col("value") if i == 0 else F.lit("") for i in range(len(rows.columns))])
+    cells = [c if c in ("uuids", "uuid", "count", "norm", "type") else escape(F.col(c)) for c in rows.columns]
+    # Lines are made after the sort, which so holds the ids of a packed row once.
+    ordered = plain.union(stamp).repartition(1).sortWithinPartitions("section", *rows.columns)
+    value = F.when(F.col("section") == 0, F.concat_ws("\t", *cells)).otherwise(F.col(rows.columns[0]))
+    ordered.select(value.alias("value")).write.mode("overwrite").text(path)
 
 
 def write_lines(rows: DataFrame, column: str, by: str, path: str, stamp: bool) -> None:

@@ -1,4 +1,6 @@
+import glob
 import random
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from recordloom.errors import DuplicateId, EmptyRecord, MissingId
 from recordloom.functions import ids
 from recordloom.operators import fetch, index, log
+from recordloom.sources import export, text
 from recordloom.sources.text import ACTIONS, RECORDS
 
 IDS = [f"AGk26cH000{i:02d}" for i in range(60)]
@@ -142,3 +145,30 @@ def test_chunks_of_a_profile(spark):
     whole, parts = index.profile(pairs).collect(), index.profile(pairs, chunks=4).collect()
     assert len(whole) == 1 and whole[0]["count"] == 60 and whole[0].uuids == ",".join(IDS)
     assert len(parts) > 1 and sorted(u for r in parts for u in r.uuids.split(",")) == IDS and all(r["count"] == len(r.uuids.split(",")) for r in parts)
+
+
+def test_packed_rows_longer_than_a_run(spark, tmp_path, monkeypatch):
+    """Ids of a value that many records have are listed once each and in order, and such rows' files are read by several tasks."""
+    monkeypatch.setattr(index, "RUN", 8)
+    ids_ = [f"AGk26cH{i:05d}" for i in range(500)]
+    r = random.Random(2)
+    pairs = [(u, "k", "all") for u in ids_ + r.sample(ids_, 100)] + [(u, "k", f"v{i % 7}") for i, u in enumerate(ids_)] + [(u, "n", u) for u in ids_]
+    r.shuffle(pairs)
+    want = {}
+    for u, k, v in pairs:
+        want.setdefault((k, v), set()).add(u)
+    want = sorted((*kv, ",".join(sorted(us))) for kv, us in want.items())
+    made = index.packed_by_key(spark.createDataFrame(pairs, "uuid string, key string, value string").repartition(5))
+    assert made.columns == ["key", "value", "uuids"] and sorted(map(tuple, made.collect())) == want
+    export.write_rows(made, str(tmp_path / "p"))
+    (path,) = glob.glob(f"{tmp_path}/p/part-*")
+    written = open(path, encoding="utf-8").read().split("\n")
+    assert written[:-2] == ["\t".join(x) for x in want] and re.fullmatch("# [0-9]{14}", written[-2]) and written[-1] == ""
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        read = text.read_packed_index(spark, path)
+        assert sorted((x.key, x.value, ",".join(x.uuids)) for x in read.collect()) == want
+        assert read.select(F.spark_partition_id().alias("p")).distinct().count() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
