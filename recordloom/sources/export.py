@@ -34,12 +34,14 @@ def write_database(records: DataFrame, pending: DataFrame, path: str) -> None:
 
 def write_rows(rows: DataFrame, path: str) -> None:
     """An index: its columns escaped, tab-separated, in the byte order of the plain columns, and a timestamp."""
-    plain = rows.select(F.lit(0).alias("section"), *[F.col(c).cast("string") for c in rows.columns])
-    stamp = _footer(rows).select("section", *[F.col("value") if i == 0 else F.lit("") for i in range(len(rows.columns))])
+    text = {c: F.col(c).cast("string") for c in rows.columns}
+    # The ids of a packed row are the last sort column, and lines are made after the sort, which so holds them once.
+    at = F.concat_ws("\x00", *[t for c, t in text.items() if c != "uuids"])
+    plain = rows.select(F.lit(0).alias("section"), at.alias("at"), *[t.alias(c) for c, t in text.items()])
+    stamp = _footer(rows).select("section", "value", *[F.lit("") for _ in rows.columns])
+    ordered = plain.union(stamp).repartition(1).sortWithinPartitions("section", "at", *[c for c in rows.columns if c == "uuids"])
     cells = [c if c in ("uuids", "uuid", "count", "norm", "type") else escape(F.col(c)) for c in rows.columns]
-    # Lines are made after the sort, which so holds the ids of a packed row once.
-    ordered = plain.union(stamp).repartition(1).sortWithinPartitions("section", *rows.columns)
-    value = F.when(F.col("section") == 0, F.concat_ws("\t", *cells)).otherwise(F.col(rows.columns[0]))
+    value = F.when(F.col("section") == 0, F.concat_ws("\t", *cells)).otherwise(F.col("at"))
     ordered.select(value.alias("value")).write.mode("overwrite").text(path)
 
 
